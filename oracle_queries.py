@@ -323,7 +323,7 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         from parked where IsVendorDomain = 1 group by 1
         """,
     ),
-    "wide": (
+    "picked": (
         ("counted", "lone", "lists", "favourite", "vendor_use", "totals", "site"),
         f"""
         select c.*, a.MoveToCompanyRecIDArray as ids, t.DomainCompanyCountAcrossAllCompanies,
@@ -339,8 +339,6 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                   'country': l.CandidateCompanyCountry,
                   'site': l.CandidateCompanyAddressRecID,
                   'k': l.CandidateContactCountOnCompany}}) as pick,
-            coalesce(pick.k, 0) as k, coalesce(v.VendorDomainContactCountInCatchAll, 0) as v,
-            coalesce(upper(pick.status) = 'ACTIVE', false) as act,
             case when IsOwnCompanyDomain = 1 then 'O' when IsDoNotMoveDomain = 1 then 'D'
                 when IsPublicDomain = 1 then 'P'
                 else if(IsVendorDomain = 1, 'V', 'N') || least(UniqueMatchingCompanyCount, 2)
@@ -353,6 +351,14 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                 if(c.IsVendorDomain = 1, c.EmailDomain, c.NormalizedEmailDomain)
         """,
     ),
+    "wide": (
+        ("picked",),
+        """
+        select *, coalesce(pick.k, 0) as k, coalesce(VendorDomainContactCountInCatchAll, 0) as v,
+            coalesce(upper(pick.status) = 'ACTIVE', false) as act
+        from picked
+        """,
+    ),
     "rulebook": (
         (),
         """

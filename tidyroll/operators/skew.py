@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is split when it holds at least 1/SHARE of all rows. By the pigeonhole principle no
@@ -14,21 +14,21 @@ MIN_ROWS = 200_000
 _HASH, _PIECES, _PIECE = "__key_hash", "__pieces", "__piece"
 
 
-def hot_keys(counts: DataFrame, keys: list[str], rows: str, share: int, min_rows: int) -> DataFrame:
+def hot_keys(
+    counts: DataFrame, keys: list[str], rows: str, total: Column | None, share: int, min_rows: int
+) -> DataFrame:
     """(hash of the key, number of pieces) for the keys to split; at most `share` rows.
 
     `counts` has one row per key. A hash that two keys share only splits one key too many.
     """
-    total = counts.agg(F.sum(rows)).scalar()
+    if total is None:
+        total = counts.agg(F.sum(rows)).scalar()
     size = F.greatest(F.ceil(total / F.lit(share)), F.lit(min_rows))
     return (
-        counts.where(F.col(rows) >= size)
-        .select(
-            F.xxhash64(*keys).alias(_HASH),
-            F.ceil(F.col(rows) / size).cast("int").alias(_PIECES),
-        )
+        counts.select(F.xxhash64(*keys).alias(_HASH), F.floor(F.col(rows) / size).alias(_PIECES))
+        .where(F.col(_PIECES) > 0)
         .groupBy(_HASH)
-        .agg(F.max(_PIECES).alias(_PIECES))
+        .agg((F.max(_PIECES) + 1).cast("int").alias(_PIECES))
     )
 
 
@@ -40,22 +40,24 @@ def split_join(
     rows: str = "rows",
     how: str = "inner",
     spread: str | None = None,
+    total: Column | None = None,
     share: int | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
     """Join `left` to `right`, which has at most one row per key, splitting the hot keys.
 
-    `counts` holds `rows`, the number of left rows (or an estimate of it), for each key; the
-    result does not depend on it, only the balance of the tasks does. A hot key's left rows
-    are dealt to pieces by a hash of column `spread`, and its one right row is copied to each
-    piece, at most 2 * share copies over all keys. Other keys have the single piece 0. Keys
-    must not be null on the inner side.
+    `counts` holds `rows`, the number of left rows (or an estimate of it), for each key, and
+    `total` is a scalar that is not below their sum; the result depends on neither, only the
+    balance of the tasks does. A hot key's left rows are dealt to pieces by a hash of column
+    `spread`, and its one right row is copied to each piece, at most 2 * share copies over all
+    keys. Other keys have the single piece 0. The plan of `counts` occurs twice in the plan of
+    the result, so it should be a table or a simple aggregate.
     """
-    hot = F.broadcast(hot_keys(counts, keys, rows, share or SHARE, min_rows or MIN_ROWS))
+    hot = F.broadcast(hot_keys(counts, keys, rows, total, share or SHARE, min_rows or MIN_ROWS))
     dealt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce(_PIECES, F.lit(1))).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(_PIECES, F.lit(1)) - 1))
 
-    def tagged(df: DataFrame, piece) -> DataFrame:
+    def tagged(df: DataFrame, piece: Column) -> DataFrame:
         return (
             df.withColumn(_HASH, F.xxhash64(*keys))
             .join(hot, _HASH, "left")

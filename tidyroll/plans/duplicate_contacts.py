@@ -30,7 +30,12 @@ def duplicate_contacts(
     # All rows of a group have one company, so the company joins the groups, not the rows.
     duplicates = groups.where(F.col("rows") > 1).drop("rows").join(names, "Company_RecID")
     rows = split_join(
-        emails, duplicates, GROUP, counts=groups, spread="Contact_Communication_RecID"
+        emails,
+        duplicates,
+        GROUP,
+        counts=groups,
+        total=views["communication"].agg(F.count(F.lit(1))).scalar(),
+        spread="Contact_Communication_RecID",
     )
     contact = F.col("Contact_RecID")
     if allow_inactive:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import split_join
+from ..operators.staging import stage
 
 TWO_TARGETS = "two targets"
 ALSO_SURVIVOR = "also a survivor"
@@ -20,11 +21,14 @@ def merge_export(duplicates: DataFrame) -> DataFrame:
     target = F.col("merge_with").try_cast("bigint")
     by_text = dict(duplicates.dtypes)["merge_with"] == "string"
     survives = F.col("merge_with" if by_text else "merge_action") == "PRIMARY"
-    rows = duplicates.select(
-        "Contact_RecID",
-        target.alias("merge_with"),
-        survives.alias("survives"),
-        "Contact_Communication_RecID",
+    rows = stage(
+        duplicates.select(
+            "Contact_RecID",
+            target.alias("merge_with"),
+            survives.alias("survives"),
+            "Contact_Communication_RecID",
+        ),
+        "merges",
     )
     contacts = rows.groupBy("Contact_RecID").agg(
         F.count(F.lit(1)).alias("rows"),
