@@ -7,28 +7,32 @@ from pyspark.sql import functions as F
 
 # A key is split when it holds at least 1/SHARE of all rows. By the pigeonhole principle no
 # more than SHARE keys can, which bounds what is broadcast: SHARE pairs of two numbers.
-SHARE = 1024
+SHARE = 16_384
 # Below this many rows a key is never split, whatever its share.
 MIN_ROWS = 200_000
 
 _HASH, _PIECES, _PIECE = "__key_hash", "__pieces", "__piece"
 
 
-def hot_keys(
-    counts: DataFrame, keys: list[str], rows: str, total: Column | None, share: int, min_rows: int
-) -> DataFrame:
-    """(hash of the key, number of pieces) for the keys to split; at most `share` rows.
+def piece_size(counts: DataFrame, rows: str) -> int | None:
+    """Left rows that a piece should have, or None when no key has as many.
+
+    Two numbers come to the driver: the sum and the maximum.
+    """
+    total, most = counts.agg(F.sum(rows), F.max(rows)).first()
+    size = max(-(-(total or 0) // SHARE), MIN_ROWS)
+    return size if (most or 0) >= size else None
+
+
+def hot_keys(counts: DataFrame, keys: list[str], rows: str, size: int) -> DataFrame:
+    """(hash of the key, number of pieces) of the keys with at least `size` left rows.
 
     `counts` has one row per key. A hash that two keys share only splits one key too many.
     """
-    if total is None:
-        total = counts.agg(F.sum(rows)).scalar()
-    size = F.greatest(F.ceil(total / F.lit(share)), F.lit(min_rows))
     return (
-        counts.select(F.xxhash64(*keys).alias(_HASH), F.floor(F.col(rows) / size).alias(_PIECES))
-        .where(F.col(_PIECES) > 0)
-        .groupBy(_HASH)
-        .agg((F.max(_PIECES) + 1).cast("int").alias(_PIECES))
+        counts.where(F.col(rows) >= size)
+        .groupBy(F.xxhash64(*keys).alias(_HASH))
+        .agg(F.floor(F.max(rows) / size + 1).cast("int").alias(_PIECES))
     )
 
 
@@ -37,23 +41,23 @@ def split_join(
     right: DataFrame,
     keys: list[str],
     counts: DataFrame,
+    spread: str,
     rows: str = "rows",
     how: str = "inner",
-    spread: str | None = None,
-    total: Column | None = None,
-    share: int | None = None,
-    min_rows: int | None = None,
 ) -> DataFrame:
     """Join `left` to `right`, which has at most one row per key, splitting the hot keys.
 
-    `counts` holds `rows`, the number of left rows (or an estimate of it), for each key, and
-    `total` is a scalar that is not below their sum; the result depends on neither, only the
-    balance of the tasks does. A hot key's left rows are dealt to pieces by a hash of column
-    `spread`, and its one right row is copied to each piece, at most 2 * share copies over all
-    keys. Other keys have the single piece 0. The plan of `counts` occurs twice in the plan of
-    the result, so it should be a table or a simple aggregate.
+    `counts` holds `rows`, the number of left rows (or an estimate of it), for each key; the
+    result does not depend on it, only the balance of the tasks does. It is aggregated right
+    away, so it should be a staged table or a simple aggregate of one. Without a hot key this
+    is a plain join. Otherwise a hot key's left rows are dealt to pieces by a hash of column
+    `spread`, and its one right row is copied to each piece, at most 2 * SHARE copies over all
+    keys. Other keys have the single piece 0.
     """
-    hot = F.broadcast(hot_keys(counts, keys, rows, total, share or SHARE, min_rows or MIN_ROWS))
+    size = piece_size(counts, rows)
+    if size is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot_keys(counts, keys, rows, size))
     dealt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce(_PIECES, F.lit(1))).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(_PIECES, F.lit(1)) - 1))
 

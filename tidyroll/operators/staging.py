@@ -25,12 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder now, and read it back.
 
     For a table that several later steps read. They start from files with known sizes, a lost
     executor costs no more than the current step, and the plans stay small.
     """
     path = f"{shared_folder(df.sparkSession)}/tidyroll/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import under
 from ..operators.mailboxes import GROUP, contact_emails
 from ..operators.skew import split_join
+from ..operators.staging import stage
 from ..operators.survivors import address_groups
 
 
@@ -24,18 +25,14 @@ def duplicate_contacts(
     any contact may survive: `merge_with` is an id, null on the survivor, and `merge_action`
     says `PRIMARY` or `MERGE`.
     """
-    emails = contact_emails(views, collation)
-    groups = address_groups(emails)
+    emails = stage(contact_emails(views, collation), "emails")
     names = views["company"].select("Company_RecID", "Company_Name")
     # All rows of a group have one company, so the company joins the groups, not the rows.
-    duplicates = groups.where(F.col("rows") > 1).drop("rows").join(names, "Company_RecID")
+    groups = stage(
+        address_groups(emails).where(F.col("rows") > 1).join(names, "Company_RecID"), "groups"
+    )
     rows = split_join(
-        emails,
-        duplicates,
-        GROUP,
-        counts=groups,
-        total=views["communication"].agg(F.count(F.lit(1))).scalar(),
-        spread="Contact_Communication_RecID",
+        emails, groups.drop("rows"), GROUP, counts=groups, spread="Contact_Communication_RecID"
     )
     contact = F.col("Contact_RecID")
     if allow_inactive:

@@ -30,7 +30,14 @@ MATCHING = MatchParams(
     vendor_domains=("vendormany.example", "vendorone.example", "vendornone.example"),
 )
 
-TABLES = ("nation", "customer", "orders", "lineitem")
+# Columns that the views read. Given so that no job has to look into the files first.
+TABLES = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_shipdate timestamp_ntz",
+}
 
 VIEW_SQL = {
     "company": """
@@ -72,6 +79,7 @@ select o_custkey Company_RecID, o_orderkey Company_Address_RecID, o_orderpriorit
 
 def sample_views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The eight views over the Parquet tables in `folder`."""
-    for table in TABLES:
-        spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
+    for table, schema in TABLES.items():
+        rows = spark.read.schema(schema).parquet(f"{folder}/{table}.parquet")
+        rows.createOrReplaceTempView(table)
     return load_views(spark, {view: spark.sql(sql) for view, sql in VIEW_SQL.items()})
