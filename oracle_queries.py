@@ -240,8 +240,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         select distinct on (Company_RecID) Company_RecID, Company_Address_RecID, Site_Name,
             Default_Flag::int as Default_Flag, Inactive_Flag::int as Inactive_Flag
         from address
-        order by Company_RecID, Default_Flag = 1 desc nulls last,
-            Inactive_Flag = 0 desc nulls last, Company_Address_RecID
+        order by Company_RecID, coalesce(Default_Flag = 1, false) desc,
+            coalesce(Inactive_Flag = 0, false) desc, Company_Address_RecID
         """,
     ),
     "totals": (

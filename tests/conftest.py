@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import sys
+from datetime import date
+from pathlib import Path
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import SparkSession
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+
+from tidyroll import VIEWS, load_views  # noqa: E402
+from tidyroll.session import with_settings  # noqa: E402
+
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), None: pa.date32()}
+SAMPLE = Path("/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    builder = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.driver.memory", "4g")
+    )
+    session = with_settings(builder).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    return session
+
+
+def table(view: str, rows: list[dict]) -> pa.Table:
+    """Rows of a source view; columns that are not given are null."""
+    columns = VIEWS[view][1]
+    unknown = {c for row in rows for c in row} - set(columns)
+    assert not unknown, unknown
+    return pa.table(
+        {c: pa.array([row.get(c) for row in rows], ARROW[t]) for c, t in columns.items()}
+    )
+
+
+@pytest.fixture(scope="session")
+def make_views(spark):
+    """Builds the eight views from lists of rows; views that are not given are empty."""
+
+    def make(**rows: list[dict]):
+        return load_views(
+            spark, {view: spark.createDataFrame(table(view, rows.get(view, []))) for view in VIEWS}
+        )
+
+    return make
+
+
+def rows_of(df) -> list[dict]:
+    return [row.asDict(recursive=True) for row in df.collect()]
+
+
+def day(text: str) -> date:
+    return date.fromisoformat(text)
