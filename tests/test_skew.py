@@ -18,6 +18,11 @@ def keyed(spark):
     return left, right
 
 
+def measured(left):
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    return skew.key_counts(counts, "rows")["rows"]
+
+
 def plain(df):
     return sorted(map(tuple, df.collect()), key=str)
 
@@ -25,11 +30,11 @@ def plain(df):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_split_join_is_the_join(keyed, monkeypatch, how):
     left, right = keyed
-    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
     expected = plain(left.join(right, ["k"], how))
     monkeypatch.setattr(skew, "MIN_ROWS", 100)
     monkeypatch.setattr(skew, "SHARE", 50)
-    assert skew.piece_size(counts, "rows") == 180
+    counts = measured(left)
+    assert counts.size == 180
     split = skew.split_join(left, right, ["k"], counts, spread="id", how=how)
     assert "explode" in split._jdf.queryExecution().optimizedPlan().toString()
     assert split.columns == ["k", "id", "s"]
@@ -38,8 +43,7 @@ def test_split_join_is_the_join(keyed, monkeypatch, how):
 
 def test_no_hot_key_is_a_plain_join(keyed):
     left, right = keyed
-    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
-    joined = skew.split_join(left, right, ["k"], counts, spread="id")
+    joined = skew.split_join(left, right, ["k"], measured(left), spread="id")
     assert "explode" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert plain(joined) == plain(left.join(right, ["k"]))
 
@@ -50,9 +54,7 @@ def test_few_keys_are_hot(keyed, monkeypatch):
     monkeypatch.setattr(skew, "MIN_ROWS", 1)
     for share in (2, 10, 600):
         monkeypatch.setattr(skew, "SHARE", share)
-        counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
-        size = skew.piece_size(counts, "rows")
-        hot = skew.hot_keys(counts, ["k"], "rows", size).collect()
+        hot = skew.hot_keys(measured(left), ["k"]).collect()
         assert len(hot) <= share
         assert sum(r[skew._PIECES] for r in hot) <= 2 * share
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,25 +16,37 @@ MIN_ROWS = 200_000
 _HASH, _PIECES, _PIECE = "__key_hash", "__pieces", "__piece"
 
 
-def piece_size(counts: DataFrame, rows: str) -> int | None:
-    """Left rows that a piece should have, or None when no key has as many.
+class KeyCounts(NamedTuple):
+    """How many left rows each key has: a DataFrame, its column with the number, and the rows
+    that a piece of a hot key should have, None when no key is hot."""
+
+    keys: DataFrame
+    rows: str
+    size: int | None
+
+
+def key_counts(keys: DataFrame, *columns: str) -> dict[str, KeyCounts]:
+    """Measure columns of a table with one row per key, in one pass.
 
-    Two numbers come to the driver: the sum and the maximum.
+    Two numbers per column come to the driver: the sum and the maximum.
     """
-    total, most = counts.agg(F.sum(rows), F.max(rows)).first()
-    size = max(-(-(total or 0) // SHARE), MIN_ROWS)
-    return size if (most or 0) >= size else None
+    totals = keys.agg(*(f(c) for c in columns for f in (F.sum, F.max))).first()
+    measured = {}
+    for column, total, most in zip(columns, totals[::2], totals[1::2], strict=True):
+        size = max(-(-(total or 0) // SHARE), MIN_ROWS)
+        measured[column] = KeyCounts(keys, column, size if (most or 0) >= size else None)
+    return measured
 
 
-def hot_keys(counts: DataFrame, keys: list[str], rows: str, size: int) -> DataFrame:
-    """(hash of the key, number of pieces) of the keys with at least `size` left rows.
+def hot_keys(counts: KeyCounts, keys: list[str]) -> DataFrame:
+    """(hash of the key, number of pieces) of the keys with enough rows for a piece.
 
-    `counts` has one row per key. A hash that two keys share only splits one key too many.
+    A hash that two keys share only splits one key too many.
     """
     return (
-        counts.where(F.col(rows) >= size)
+        counts.keys.where(F.col(counts.rows) >= counts.size)
         .groupBy(F.xxhash64(*keys).alias(_HASH))
-        .agg(F.floor(F.max(rows) / size + 1).cast("int").alias(_PIECES))
+        .agg(F.floor(F.max(counts.rows) / counts.size + 1).cast("int").alias(_PIECES))
     )
 
 
@@ -40,24 +54,21 @@ def split_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    counts: DataFrame,
+    counts: KeyCounts,
     spread: str,
-    rows: str = "rows",
     how: str = "inner",
 ) -> DataFrame:
     """Join `left` to `right`, which has at most one row per key, splitting the hot keys.
 
-    `counts` holds `rows`, the number of left rows (or an estimate of it), for each key; the
-    result does not depend on it, only the balance of the tasks does. It is aggregated right
-    away, so it should be a staged table or a simple aggregate of one. Without a hot key this
-    is a plain join. Otherwise a hot key's left rows are dealt to pieces by a hash of column
-    `spread`, and its one right row is copied to each piece, at most 2 * SHARE copies over all
-    keys. Other keys have the single piece 0.
+    `counts` holds the number of left rows of each key, or an estimate of it: the result does
+    not depend on it, only the balance of the tasks does. Without a hot key this is a plain
+    join. Otherwise a hot key's left rows are dealt to pieces by a hash of column `spread`, and
+    its one right row is copied to each piece, at most 2 * SHARE copies over all keys. Other
+    keys have the single piece 0.
     """
-    size = piece_size(counts, rows)
-    if size is None:
+    if counts.size is None:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot_keys(counts, keys, rows, size))
+    hot = F.broadcast(hot_keys(counts, keys))
     dealt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce(_PIECES, F.lit(1))).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(_PIECES, F.lit(1)) - 1))
 

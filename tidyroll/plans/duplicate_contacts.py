@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import under
 from ..operators.mailboxes import GROUP, contact_emails
-from ..operators.skew import split_join
+from ..operators.skew import key_counts, split_join
 from ..operators.staging import stage
 from ..operators.survivors import address_groups
 
@@ -32,7 +32,11 @@ def duplicate_contacts(
         address_groups(emails).where(F.col("rows") > 1).join(names, "Company_RecID"), "groups"
     )
     rows = split_join(
-        emails, groups.drop("rows"), GROUP, counts=groups, spread="Contact_Communication_RecID"
+        emails,
+        groups.drop("rows"),
+        GROUP,
+        counts=key_counts(groups, "rows")["rows"],
+        spread="Contact_Communication_RecID",
     )
     contact = F.col("Contact_RecID")
     if allow_inactive:

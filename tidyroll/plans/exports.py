@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import split_join
+from ..operators.skew import key_counts, split_join
 from ..operators.staging import stage
 
 TWO_TARGETS = "two targets"
@@ -38,7 +38,11 @@ def merge_export(duplicates: DataFrame) -> DataFrame:
     conflict = F.nullif(F.concat_ws(", ", "two", "both"), F.lit(""))
     merges = rows.where(F.col("merge_with").isNotNull())
     return split_join(
-        merges, contacts, ["Contact_RecID"], counts=contacts, spread="Contact_Communication_RecID"
+        merges,
+        contacts,
+        ["Contact_RecID"],
+        counts=key_counts(contacts, "rows")["rows"],
+        spread="Contact_Communication_RecID",
     ).select("Contact_RecID", "merge_with", conflict.alias("conflict"))
 
 
