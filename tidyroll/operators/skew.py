@@ -17,11 +17,12 @@ _HASH, _PIECES, _PIECE = "__key_hash", "__pieces", "__piece"
 
 
 class KeyCounts(NamedTuple):
-    """How many left rows each key has: a DataFrame, its column with the number, and the rows
-    that a piece of a hot key should have, None when no key is hot."""
+    """How many left rows each key has: a DataFrame, its column with the number, the largest
+    number, and the rows that a piece of a hot key should have, None when no key is hot."""
 
     keys: DataFrame
     rows: str
+    most: int
     size: int | None
 
 
@@ -33,8 +34,9 @@ def key_counts(keys: DataFrame, *columns: str) -> dict[str, KeyCounts]:
     totals = keys.agg(*(f(c) for c in columns for f in (F.sum, F.max))).first()
     measured = {}
     for column, total, most in zip(columns, totals[::2], totals[1::2], strict=True):
-        size = max(-(-(total or 0) // SHARE), MIN_ROWS)
-        measured[column] = KeyCounts(keys, column, size if (most or 0) >= size else None)
+        total, most = total or 0, most or 0
+        size = max(-(-total // SHARE), MIN_ROWS)
+        measured[column] = KeyCounts(keys, column, most, size if most >= size else None)
     return measured
 
 
