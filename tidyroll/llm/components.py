@@ -1,0 +1,46 @@
+"""Connected components of links between long integers, as Spark jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidyroll.operators.staging import release, stage
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links each node's larger neighbours to the least of the node and its neighbours."""
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    linked = both.where("b > a").join(least, "a")
+    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links each node and its smaller neighbours to the least of them."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    ends = least.select("a", F.col("m").alias("b"))
+    return linked.union(ends).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """The least member `root` of the component of each `node` that has a link (columns a, b).
+
+    Alternates large and small stars until nothing changes. A step keeps at most the links that
+    it has, aggregates minima before the shuffle, and is written to the shared folder; only
+    counts come to the driver.
+    """
+    spark = edges.sparkSession
+    now, state = stage(edges.where("a <> b").distinct(), "links"), None
+    while True:
+        after = stage(_small_star(_large_star(now)), "links")
+        release(spark, now)
+        now = after
+        # a link (a, b) hides its ends in two sums that change with any link
+        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(sums) == state:
+            break
+        state = tuple(sums)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
