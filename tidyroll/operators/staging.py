@@ -1,36 +1,100 @@
-"""Intermediate tables that outlive the executors."""
+"""Intermediate tables that outlive the executors, and their end.
+
+A staged table lies in the folder that the cluster names in `spark.checkpoint.dir`; where
+that is unset, in a folder of the session's warehouse, which a cluster shares as well. No
+machine-local folder is ever used. `release` deletes what a session has staged.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_staged: dict[str, list[tuple[str, DataFrame | None]]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's checkpoint folder.
-
-    Where it is unset, a local session gets a temporary folder of its own; a cluster has to
-    name one that all its machines see.
-    """
+    """Folder for intermediate tables; reading it changes no setting of the session."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder that the whole cluster can reach")
-        folder = tempfile.mkdtemp(prefix="tidyroll-")
-        spark.conf.set(SETTING, folder)
+        folder = spark.conf.get(WAREHOUSE).rstrip("/") + "/_staged"
     return folder.rstrip("/")
 
 
+def _of_session(spark: SparkSession) -> list[tuple[str, DataFrame | None]]:
+    return _staged.setdefault(spark.sparkContext.applicationId, [])
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder, which `release` deletes too."""
+    path = f"{shared_folder(spark)}/tidyroll/{name}-{uuid.uuid4().hex}"
+    _of_session(spark).append((path, None))
+    return path
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when it has ended: its table replaces them."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder now, and read it back.
 
     For a table that several later steps read. They start from files with known sizes, a lost
     executor costs no more than the current step, and the plans stay small.
     """
-    path = f"{shared_folder(df.sparkSession)}/tidyroll/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidyroll/{name}-{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.write.parquet(path, partitionBy=partition_by)
+    table = spark.read.schema(df.schema).parquet(path)
+    _of_session(spark).append((path, table))
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables: those given, or all of the session.
+
+    Frames that still read them can't be evaluated afterwards, so a report has to be written
+    or collected first.
+    """
+    kept = []
+    for path, table in _of_session(spark):
+        if tables and not any(table is t for t in tables):
+            kept.append((path, table))
+        else:
+            _delete(spark, path)
+    _staged[spark.sparkContext.applicationId] = kept
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever was staged inside."""
+    before = len(_of_session(spark))
+    try:
+        yield
+    finally:
+        new = _of_session(spark)[before:]
+        for path, _ in new:
+            _delete(spark, path)
+        _staged[spark.sparkContext.applicationId] = _of_session(spark)[:before]
