@@ -34,7 +34,7 @@ from tidyroll.operators.staging import release, stage
 from .texts import chunks
 
 #: Words of a window and of the runs among which its minimiser is.
-WINDOW, RUN = 20, 2
+WINDOW, RUN = 20, 8
 #: Distinct strings of a bucket that one task sorts.
 BUCKET = 2048
 #: Low bits of a hash that give way to the place of its run, so that the least is the leftmost.
