@@ -30,8 +30,12 @@ from .pieces import REMEMBERED
 from .texts import per_text
 
 #: Hashed weights, labelled rows that are fitted at most, and steps of the fit.
-WEIGHTS, SAMPLE, STEPS = 1 << 18, 20_000, 200
+WEIGHTS, SAMPLE, STEPS = 1 << 18, 20_000, 400
 RIDGE, RATE, RARE = 1e-4, 0.1, 3
+#: Standard errors that a feature's share has to differ by between grades to get a weight.
+CHANCE = 4.5
+#: Share of a text's words that have a shape, for it to be a feature.
+OFTEN = 0.02
 GRADES = 3
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SHAPE = bytes(
@@ -39,6 +43,7 @@ _SHAPE = bytes(
     for c in range(256)
 )
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
+_MARKED = re.compile(rb"([!-/:-@\[-`{-~])\1")
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -48,7 +53,7 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 class Features:
-    """Hashed features of texts: presence of words, and the shares of word shapes."""
+    """Hashed features of texts: words, frequent word shapes, and two marks of repetition."""
 
     def __init__(self, size: int):
         self.size = size
@@ -56,10 +61,10 @@ class Features:
 
     def _places(self, word: bytes) -> int:
         core = word.translate(_LOWER).strip(_MARKS)
-        shape = _RUNS.sub(rb"\1\1", word.translate(_SHAPE)[:32])
+        shape = b"marks" if _MARKED.search(word) else _RUNS.sub(rb"\1\1", word.translate(_SHAPE)[:32])
         half = self.size // 2
         a = xxhash.xxh64_intdigest(core, 1) % half if core else half - 1
-        return a << 32 | (half + xxhash.xxh64_intdigest(shape, 2) % half)
+        return a << 32 | (half + xxhash.xxh64_intdigest(shape, 2) % (half - 2))
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Places and values of a text's features."""
@@ -72,8 +77,13 @@ class Features:
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         cores = np.unique(both >> 32)
         shapes, counts = np.unique(both & 0xFFFFFFFF, return_counts=True)
-        values = np.concatenate([np.ones(len(cores)), 4 * counts / max(1, len(words))])
-        return np.concatenate([cores, shapes]).astype(np.int32), values.astype(np.float32)
+        shapes = shapes[counts >= OFTEN * len(words)]
+        # words that repeat the one before, and few words said often
+        same = int((both[1:] == both[:-1]).sum()) >= 0.1 * max(5, len(words))
+        few = len(cores) <= 0.4 * len(words) and len(words) >= 20
+        marks = [self.size - 1] * same + [self.size - 2] * few
+        places = np.unique(np.concatenate([cores, shapes, np.array(marks, np.int64)]))
+        return places.astype(np.int32), np.ones(len(places), np.float32)
 
 
 def chances(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
@@ -81,6 +91,26 @@ def chances(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(thresholds[None, :] - scores[:, None], -50, 50)))
 
 
+def _telling(at: np.ndarray, row_grades: np.ndarray, grades: np.ndarray, size: int) -> np.ndarray:
+    """Which features are in the documents of some grade more or less often than chance allows.
+
+    Among many thousand words some always lean to a grade in the sample; weights for those
+    would only blur the scores of other documents.
+    """
+    held = np.bincount(at, minlength=size)
+    share = held / len(grades)
+    telling = np.zeros(size, bool)
+    for g in np.unique(grades):
+        inside = int((grades == g).sum())
+        outside = max(1, len(grades) - inside)
+        here = np.bincount(at[row_grades == g], minlength=size)
+        gap = here / inside - (held - here) / outside
+        spread = np.sqrt(share * (1 - share) * (1 / inside + 1 / outside)) + 1e-12
+        telling |= np.abs(gap) / spread > CHANCE
+    # what most documents have is left to the thresholds, so that a text without features is ordinary
+    return telling & (held >= RARE) & (share < 0.5)
+
+
 def fit_rows(places: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, size: int = WEIGHTS, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the penalised likelihood."""
     top = GRADES - 1
@@ -90,9 +120,7 @@ def fit_rows(places: list[np.ndarray], values: list[np.ndarray], grades: np.ndar
     thresholds = np.log(share / (1 - share))
     at, value = np.concatenate(places), np.concatenate(values).astype(np.float64)
     row = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    # what is in few documents of the sample says nothing about others
-    common = np.bincount(at, minlength=size) >= RARE
-    used = common[at]
+    used = _telling(at, grades[row], grades, size)[at]
     names, at = np.unique(at[used], return_inverse=True)
     value, row = value[used], row[used]
     params = np.concatenate([np.zeros(len(names)), thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
