@@ -1,0 +1,223 @@
+"""The operators against plain versions, on hand-made hard cases and on the smallest tables."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_point
+import corpus_pipeline
+from tidyroll.llm import components, decontamination, quality, simhash, suffix_dedup, token_store, topk, window_dedup
+from tidyroll.llm import queries as Q
+from tidyroll.llm.pieces import pieces
+
+from . import brute
+
+SAMPLE = "/root/testdata/sf0.001"
+
+
+def _hard_documents():
+    rng = random.Random(5)
+    words = ["the", "Of", "RÉ", "und", "x1", "a.b", "%%", "中文", "loser", "né"]
+    prose = [" ".join(rng.choices(words, k=n)) for n in (1, 5, 19, 20, 21, 60, 400, 3000)]
+    passage = " ".join(f"w{i}" for i in range(120))
+    texts = [
+        None, "", "  \n\t ", *prose, prose[5], prose[5], prose[6] + " end", "a" * 5000, "ab " * 900,
+        f"one {passage} two", f"three {passage}", f"{passage} {passage}", "İ ſ ΑΣ  \x1c a\x85b <|endoftext|> x",
+        "item words one two three four five six seven eight nine ten eleven", "short item",
+    ]
+    return list(enumerate(texts)), [(1, texts[-2]), (2, "short ITEM"), (2, "short ITEM"), (3, None), (4, ""), (None, prose[3])]
+
+
+@pytest.fixture(scope="module")
+def hard(spark, tmp_path_factory):
+    """Tables with nulls, empty, long and repeated texts, and columns named like results."""
+    folder = tmp_path_factory.mktemp("hard")
+    docs, items = _hard_documents()
+    ids, texts = zip(*docs, strict=True)
+    n = len(ids)
+    pq.write_table(
+        pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "n_chars": pa.nulls(n, pa.int64()),
+                  "n_tokens": pa.nulls(n, pa.int32()), "row": pa.nulls(n, pa.string()), "key": pa.nulls(n, pa.string())}),
+        folder / "documents.parquet",
+    )
+    pq.write_table(
+        pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())}),
+        folder / "benchmark.parquet",
+    )
+    pq.write_table(
+        pa.table({"doc_id": pa.array([3, 4, None, 9], pa.int64()), "quality": pa.array([1, 0, 1, None], pa.int32()), "toxic": pa.array([0, 0, 0, 1], pa.int32())}),
+        folder / "labels.parquet",
+    )
+    rng = np.random.default_rng(1)
+    vectors = [rng.normal(size=8).tolist() for _ in range(120)] + [[1.0] * 8] * 60 + [None, [None] * 8, [float("nan")] * 8, [], [0.5] * 3, []]
+    pq.write_table(
+        pa.table({"vec_id": pa.array([*range(len(vectors) - 1), None], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}),
+        folder / "embeddings.parquet",
+    )
+    return str(folder), docs, items, list(zip([*range(len(vectors) - 1), None], vectors, strict=True))
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_against_plain_versions(spark, hard):
+    folder, docs, items, vectors = hard
+    for query, expected in (
+        (Q.decontaminate, brute.contamination(docs, items)),
+        (Q.encode_bytes, brute.byte_bpe(docs)),
+        (Q.store_tokens, brute.token_store(docs)),
+        (Q.count_tokens, brute.token_counts(docs)),
+        (Q.link_simhash, brute.simhash(docs)),
+        (Q.remove_strings, brute.suffix_dedup(docs)),
+        (Q.remove_windows, brute.window_dedup(docs)),
+        (Q.search, brute.top_k(vectors)),
+    ):
+        assert rows(query(spark, folder)) == sorted(expected, key=repr), query.__name__
+
+
+def test_sample_against_plain_versions(spark):
+    table = pq.read_table(f"{SAMPLE}/documents.parquet")
+    docs = list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+    assert rows(Q.encode_bytes(spark, SAMPLE)) == sorted(brute.byte_bpe(docs), key=repr)
+    assert rows(Q.link_simhash(spark, SAMPLE)) == sorted(brute.simhash(docs), key=repr)
+    assert rows(Q.remove_strings(spark, SAMPLE)) == sorted(brute.suffix_dedup(docs), key=repr)
+
+
+def test_empty_tables(spark, hard, tmp_path):
+    folder = hard[0]
+    for name in ("documents", "benchmark", "labels", "embeddings"):
+        pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
+    for name, query in entry_point.LLM_QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_split_groups_change_nothing(spark, hard, monkeypatch):
+    folder, docs, items, vectors = hard
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    monkeypatch.setattr(window_dedup, "BUCKET", 1)
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    near = [base ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) for _ in range(300)]
+    far = [rng.getrandbits(64) for _ in range(100)]
+    fps = sorted({x - (1 << 64) if x >> 63 else x for x in near + far})
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = {r["node"]: r["root"] for r in components.components(simhash.links(nodes)).collect()}
+    parent = {x: x for x in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 3:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {x: root(x) for x in fps if root(x) != x}
+    assert rows(Q.remove_windows(spark, folder)) == sorted(brute.window_dedup(docs), key=repr)
+    blocks = decontamination.contamination(
+        spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"), automaton_bytes=700
+    )
+    assert sorted((r["row"][0], r["n_hit"], len(r["items"])) for r in blocks.collect()) == [
+        (d, h, i) for d, _, h, i, _, _ in brute.contamination(docs, items)
+    ]
+    small = topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), shard=40)
+    assert rows(small) == sorted(brute.top_k(vectors), key=repr)
+
+
+def test_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (7, "other")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_removed"]) for r in window_dedup.digests(docs).collect()))
+    assert got == [(0, 0), (1, 200), (1, 200), (7, 0)]
+    got = sorted(((r["doc_id"] or 0, r["n_removed"] == r["n_bytes"]) for r in suffix_dedup.digests(docs).collect()))
+    assert got == [(0, True), (1, True), (1, True), (7, False)]
+    assert [r["component_id"] for r in simhash.near_duplicates(docs.where("doc_id < 5")).collect()] == [1, 1]
+
+
+def test_other_thresholds(spark):
+    rng = random.Random(3)
+    docs = [(i, "".join(rng.choices("ab", k=rng.randrange(300)))) for i in range(40)]
+    docs += [(100 + i, docs[i][1][:90] + "c" + docs[i][1][90:]) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for threshold in (60, 100):
+        assert rows(suffix_dedup.digests(frame, threshold)) == sorted(brute.suffix_dedup(docs, threshold), key=repr)
+
+
+def test_random_access_to_tokens(spark, hard):
+    folder, docs, _, _ = hard
+    path = Q.new_path(spark, "tokens")
+    token_store.write(spark.read.parquet(f"{folder}/documents.parquet"), Q.public_tokenizers.path("byte_bpe_50k.json"), 2, path)
+    starts = {d: (s, n) for d, s, n, _ in brute.token_store(docs)}
+    ends = [s + n - 1 for s, n in starts.values()]
+    places = spark.createDataFrame([(p,) for p in [*ends, 10**9, -1]], "place long")
+    got = {r["place"]: r["token_id"] for r in token_store.tokens_at(spark, path, places).collect()}
+    assert got == dict.fromkeys(ends, 2)
+    ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1] * 400, np.uint32)
+    codes = token_store.Codes(token_store.pack(ids))
+    assert (codes.all() == ids).all() and (codes[np.arange(len(ids))] == ids).all()
+
+
+def test_pieces_join_to_the_text():
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choices([" ", "  ", "\n", "a", ".", "\0", "\x1c"], k=rng.randrange(1, 12)))
+        assert "".join(pieces(text)) == text
+
+
+def test_matches_have_places_in_the_original(spark):
+    docs = spark.createDataFrame([(1, "x,  Alpha-beta;\n GAMMA é end")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "alpha beta gamma É")], "item_id long, text string")
+    none = decontamination.scan(docs, items)
+    assert decontamination.spans(none).count() == 0  # É isn't lower-cased
+    found = decontamination.spans(decontamination.scan(docs, items.withColumn("text", F.lit("ALPHA beta gamma")))).first()
+    raw = "x,  Alpha-beta;\n GAMMA é end".encode()
+    assert raw[found["byte_start"] : found["byte_end"]] == b"Alpha-beta;\n GAMMA"
+
+
+def test_quality_on_documents_that_it_was_not_fitted_on(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    held = labels.where("doc_id % 2 = 1").withColumn("grade", quality.grade(F.col("quality"), F.col("toxic")))
+    scored = quality.score(docs, model).select("row.doc_id", "keep", "expected_grade", "p_1", "p_2").join(held, "doc_id")
+    kept = {r["grade"]: r["kept"] for r in scored.groupBy("grade").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert kept[2] > 0.98 and kept[1] < 0.15 and kept[0] < 0.12
+    assert scored.where("p_2 > p_1 or abs(expected_grade - p_1 - p_2) > 1e-9").count() == 0
+
+
+def test_scores_prefer_the_target(spark):
+    found = Q.score_entropy(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    means = {r["quality"]: r["m"] for r in found.groupBy("quality").agg(F.avg("score").alias("m")).collect()}
+    assert means[1] < means[0]
+
+
+def test_pipeline_stages(spark):
+    """Each stage against a plain version on its own input."""
+    docs = spark.read.parquet(f"{SAMPLE}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{SAMPLE}/benchmark.parquet").select("item_id", "text").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality"](spark, docs, SAMPLE)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+    def pairs(df):
+        return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+    one = stages["near_duplicates"](spark, docs, SAMPLE)
+    assert {d for d, _ in pairs(one)} == {d for d, _, c in brute.simhash(pairs(docs)) if d == c}
+    cut = stages["repeats"](spark, docs, SAMPLE)
+    gone = dict(zip([d for d, _ in pairs(docs)], brute.suffix_spans([t.encode() for _, t in pairs(docs)], 400), strict=True))
+    expected = {d: bytes(b for b, g in zip(t.encode(), gone[d], strict=True) if not g).decode(errors="ignore") for d, t in pairs(docs)}
+    assert dict(pairs(cut)) == expected and cut.columns == docs.columns
+    clean = stages["decontamination"](spark, docs, SAMPLE)
+    assert {d for d, _ in pairs(clean)} == {r[0] for r in brute.contamination(pairs(docs), items) if not r[5]}
+    ids = stages["encoding"](spark, docs, SAMPLE)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in ids.collect()) == sorted(r[:2] for r in brute.byte_bpe(pairs(docs)))
