@@ -421,7 +421,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         with r as (
             select distinct Contact_RecID, MoveToCompanyRecID, MoveToCompanyAddressRecID
             from moves where ReadyForApiUpdateFlag = 1)
-        select *, if(count(*) over (partition by Contact_RecID) > 1, 'two targets', null) as conflict
+        select *, case when count(*) over (partition by Contact_RecID) > 1 then 'two targets'
+            when MoveToCompanyAddressRecID is null then 'no address id' end as conflict
         from r
         """,
     ),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
 from tidyroll import VIEWS, JdbcSource, load_views
 from tidyroll.operators import staging
+from tidyroll.params import MatchParams
 from tidyroll.sources import views as module
 
 from .conftest import table
@@ -126,10 +128,28 @@ def test_stage_writes_to_the_shared_folder(spark):
     assert back.count() == 5 and back.dtypes == df.dtypes
 
 
-def test_cluster_needs_a_shared_folder():
-    session = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda *_: None),
-        sparkContext=SimpleNamespace(master="yarn"),
-    )
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging.shared_folder(session)
+def test_released_tables_are_gone(spark):
+    kept = staging.stage(spark.range(3), "kept")
+    one = staging.stage(spark.range(4), "one")
+    paths = [Path(t.inputFiles()[0].removeprefix("file://")).parent for t in (kept, one)]
+    staging.release(spark, one)
+    assert paths[0].exists() and not paths[1].exists()
+    with staging.released(spark):
+        inner = staging.stage(spark.range(2), "inner")
+        inside = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert inside.exists()
+    assert not inside.exists() and paths[0].exists()
+    staging.release(spark)
+    assert not paths[0].exists()
+
+
+def test_staging_needs_no_machine_local_folder():
+    """Without a checkpoint folder tables lie in the warehouse, on any kind of master."""
+    settings = {"spark.sql.warehouse.dir": "hdfs://store/warehouse"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, *_: settings.get(k)))
+    assert staging.shared_folder(session) == "hdfs://store/warehouse/_staged"
+
+
+def test_domain_lists_are_compared_in_lower_case():
+    params = MatchParams(0, 1, own_domains=(" Own.Example ",), public_domains=("GMAIL.com",))
+    assert params.own_domains == ("own.example",) and params.public_domains == ("gmail.com",)

@@ -90,7 +90,8 @@ class MatchParams:
     """Company ids and domain lists of the catch-all matching report.
 
     The lists are part of the plan as literals, so they are meant for hundreds of entries,
-    and they are compared with lower-cased domains. With `literal_old` the underscore in the
+    and they are compared with lower-cased domains, so their entries are trimmed and put in
+    lower case here. With `literal_old` the underscore in the
     `_old` marker stands for itself; by default it stands for any one character, as it does
     in SQL LIKE.
     """
@@ -103,3 +104,8 @@ class MatchParams:
     vendor_domains: tuple[str, ...] = ()
     literal_old: bool = False
     collation: str | None = None
+
+    def __post_init__(self) -> None:
+        for name in ("own_domains", "protected_domains", "public_domains", "vendor_domains"):
+            entries = tuple(d.strip().lower() for d in getattr(self, name))
+            object.__setattr__(self, name, entries)

@@ -9,6 +9,7 @@ from ..operators.skew import key_counts, split_join
 from ..operators.staging import stage
 
 TWO_TARGETS = "two targets"
+NO_ADDRESS = "no address id"
 ALSO_SURVIVOR = "also a survivor"
 
 
@@ -49,8 +50,9 @@ def merge_export(duplicates: DataFrame) -> DataFrame:
 def move_export(suggestions: DataFrame) -> DataFrame:
     """Distinct moves of the rows that are ready, of a `move_suggestions` report.
 
-    `conflict` marks contacts with more than one target. A contact has at most two: the own
-    company and the one company it matches.
+    `conflict` marks contacts with more than one target, and else moves without an address id,
+    which the API refuses. A contact has at most two targets: the own company and the one company
+    it matches.
     """
     target = F.struct("MoveToCompanyRecID", "MoveToCompanyAddressRecID")
     moves = (
@@ -58,10 +60,13 @@ def move_export(suggestions: DataFrame) -> DataFrame:
         .groupBy("Contact_RecID")
         .agg(F.collect_set(target).alias("targets"))
     )
-    conflict = F.when(F.size("targets") > 1, TWO_TARGETS)
-    return moves.select(
-        "Contact_RecID", conflict.alias("conflict"), F.explode("targets").alias("target")
-    ).select("Contact_RecID", "target.*", "conflict")
+    rows = moves.select(
+        "Contact_RecID", (F.size("targets") > 1).alias("several"), F.explode("targets").alias("target")
+    )
+    conflict = F.when(F.col("several"), TWO_TARGETS).when(
+        F.col("target.MoveToCompanyAddressRecID").isNull(), NO_ADDRESS
+    )
+    return rows.select("Contact_RecID", "target.*", conflict.alias("conflict"))
 
 
 def merge_plan(duplicates: DataFrame) -> DataFrame:
@@ -72,6 +77,12 @@ def merge_plan(duplicates: DataFrame) -> DataFrame:
     its survivor needs no call.
     """
     group = ["Company_RecID", "EmailAddress"]
+    duplicates = stage(
+        duplicates.select(
+            *group, "merge_action", "Contact_RecID", "Contact_InactiveFlag", "merge_with"
+        ),
+        "plan",
+    )
     merges = F.col("merge_action") == "MERGE"
     survivor = F.when(~merges, F.col("Contact_RecID"))
     inactive = F.when(~merges, F.col("Contact_InactiveFlag"))

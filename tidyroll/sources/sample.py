@@ -26,7 +26,6 @@ MATCHING = MatchParams(
     own_company=6,
     own_domains=("own.example",),
     protected_domains=("protected.example",),
-    public_domains=("gmail.com",),
     vendor_domains=("vendormany.example", "vendorone.example", "vendornone.example"),
 )
 
