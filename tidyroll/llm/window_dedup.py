@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidyroll.operators.staging import release, stage
 
+from .hot import counted_join
 from .texts import chunks
 
 #: Words of a window and of the runs among which its minimiser is.
@@ -111,8 +112,9 @@ def _candidates(texts: DataFrame, window: int, run: int) -> DataFrame:
                 )
 
     rows = stage(texts.mapInArrow(cut, "key long, doc_id long, tie long, place long"), "minimisers")
-    shared = rows.groupBy("key").count().where("count > 1").select("key")
-    return rows.join(shared, "key").groupBy("doc_id", "tie").agg(F.collect_list("place").alias("places"))
+    shared = stage(rows.groupBy("key").count().where("count > 1"), "shared")
+    kept = counted_join(rows, shared, "key", "count", rows.count(), "left_semi")
+    return kept.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places"))
 
 
 def _packed(texts: DataFrame, candidates: DataFrame, window: int, run: int) -> DataFrame:
@@ -211,9 +213,10 @@ def _single_windows(packed: DataFrame, window: int) -> DataFrame:
 
 def first_windows(packed: DataFrame, window: int) -> DataFrame:
     """First places of all distinct windows of the packed strings."""
-    large = stage(packed.groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "large")
-    small = _small_buckets(packed.join(large, "key", "left_anti"), window)
-    return small.unionByName(_single_windows(packed.join(large, "key", "left_semi"), window))
+    large = stage(packed.groupBy("key").count().where(F.col("count") > BUCKET), "large")
+    total = packed.count()
+    small = _small_buckets(counted_join(packed, large, "key", "count", total, "left_anti"), window)
+    return small.unionByName(_single_windows(counted_join(packed, large, "key", "count", total, "left_semi"), window))
 
 
 def remove_repeats(
