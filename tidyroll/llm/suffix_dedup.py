@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from tidyroll.operators.staging import release, stage
 
+from .hot import counted_join
 from .texts import chunks
 from .window_dedup import PLACE_BITS, leftmost_least
 
@@ -115,8 +116,9 @@ def _first_round(texts: DataFrame, threshold: int) -> DataFrame:
                 )
 
     ranked = stage(texts.mapInArrow(rank, "rank long, doc_id long, tie long, place long"), "ranked")
-    shared = ranked.groupBy("rank").count().where("count > 1").select("rank")
-    return ranked.join(shared, "rank").groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places"))
+    shared = stage(ranked.groupBy("rank").count().where("count > 1"), "shared")
+    kept = counted_join(ranked, shared, "rank", "count", ranked.count(), "left_semi")
+    return kept.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places"))
 
 
 def _second_round(texts: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
@@ -183,9 +185,9 @@ def _last_round(texts: DataFrame, open_slices: DataFrame, threshold: int) -> Dat
     windows = stage(once.select("text", "slices").mapInArrow(rank, "name binary, whole binary, window int"), "ends")
     # a window is in a slice once, so more than one slice of another text has to hold it
     slice_of = F.xxhash64("whole")
-    held = windows.groupBy("name").agg(F.min(slice_of).alias("a"), F.max(slice_of).alias("b"))
-    shared = held.where("a <> b").select("name")
-    found = windows.join(shared, "name")
+    held = windows.groupBy("name").agg(F.min(slice_of).alias("a"), F.max(slice_of).alias("b"), F.count("*").alias("n"))
+    shared = stage(held.where("a <> b").select("name", "n"), "shared")
+    found = counted_join(windows, shared, "name", "n", windows.count(), "left_semi")
     return found.groupBy("whole").agg(F.bit_or(F.expr("shiftleft(1L, window)")).alias("mask"))
 
 
@@ -201,15 +203,16 @@ def _repeats(texts: DataFrame, threshold: int) -> DataFrame:
     distinct = stage(distinct, "distinct")
     # a rank with slices of several texts, one of which occurs once, has windows to tell apart
     ranks = distinct.groupBy("rank").agg(F.count("*").alias("texts"), F.min("n").alias("least"))
-    open_ranks = ranks.where("texts > 1 and least = 1").select("rank")
-    open_slices = distinct.join(open_ranks, "rank", "left_semi").select("whole", "at.*")
+    open_ranks = stage(ranks.where("texts > 1 and least = 1").select("rank", "texts"), "open")
+    open_slices = counted_join(distinct, open_ranks, "rank", "texts", distinct.count(), "left_semi").select("whole", "at.*")
     masks = stage(_last_round(texts, open_slices, threshold), "masks")
-    settled = distinct.where("n > 1").select("whole", F.lit((1 << SLICE) - 1).cast("long").alias("mask"))
-    single = distinct.where("n = 1").select("whole").join(masks, "whole")
-    known = settled.unionByName(single)
-    out = slices.join(known, "whole").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("place", "mask")).alias("windows"))
+    settled = distinct.where("n > 1").select("whole", F.lit((1 << SLICE) - 1).cast("long").alias("mask"), "n")
+    single = distinct.where("n = 1").select("whole", "n").join(masks, "whole").select("whole", "mask", "n")
+    known = stage(settled.unionByName(single), "known")
+    found = counted_join(slices, known, "whole", "n", slices.count())
+    out = found.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("place", "mask")).alias("windows"))
     out = stage(out, "windows")
-    release(spark, slices, distinct, masks)
+    release(spark, slices, distinct, open_ranks, masks, known)
     return out
 
 
