@@ -114,7 +114,9 @@ def _candidates(texts: DataFrame, window: int, run: int) -> DataFrame:
     rows = stage(texts.mapInArrow(cut, "key long, doc_id long, tie long, place long"), "minimisers")
     shared = stage(rows.groupBy("key").count().where("count > 1"), "shared")
     kept = counted_join(rows, shared, "key", "count", rows.count(), "left_semi")
-    return kept.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places"))
+    found = stage(kept.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places")), "candidates")
+    release(texts.sparkSession, rows, shared)
+    return found
 
 
 def _packed(texts: DataFrame, candidates: DataFrame, window: int, run: int) -> DataFrame:
@@ -235,7 +237,7 @@ def digests(
 
 def _results(docs: DataFrame, window: int, run: int, text: str, doc_id: str, digest: bool) -> DataFrame:
     texts = _documents(docs, doc_id, text)
-    candidates = stage(_candidates(texts, window, run), "candidates")
+    candidates = _candidates(texts, window, run)
     packed = stage(_packed(texts, candidates, window, run), "packed")
     found = stage(first_windows(packed, window).groupBy("doc_id", "tie").agg(F.collect_list("start").alias("firsts")), "firsts")
     release(docs.sparkSession, packed)
