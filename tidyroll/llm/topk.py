@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with a KD-tree in each shard.
 
-Vectors are dealt to shards of bounded size by a hash of their id. A shard's tree splits at the
+Vectors are dealt to shards by a hash of their id and components. A shard's tree splits at the
 median of the dimension with the largest spread, and each node has a tight box and its smallest
 id. A search goes through a tree best node first, by the largest inner product that the node's
 box allows; it ends when that bound can't beat the kth score that it has. Queries travel in
@@ -144,7 +144,7 @@ def build(vectors: DataFrame, shards: int) -> DataFrame:
 
     dealt = vectors.select(
         F.size("vector").alias("dim"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int").alias("shard"),
         "vec_id",
         "vector",
     )
