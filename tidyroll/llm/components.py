@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 
 from tidyroll.operators.staging import release, stage
 
+from .hot import counted_join
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links with the least `m` of their node `a`. A node may hold a large share of the links, as
+    the middle of a large component does; `n` of `least` has how many."""
+    total = least.agg(F.sum("n")).first()[0] or 0
+    return counted_join(links, least, "a", "n", total)
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links each node's larger neighbours to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = both.where("b > a").join(least, "a")
-    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    larger = F.count(F.when(F.col("b") > F.col("a"), 1))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), larger.alias("n"))
+    least = stage(least.where("n > 0"), "least")
+    linked = _with_least(both.where("b > a"), least)
+    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links each node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = stage(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    linked = _with_least(down, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     ends = least.select("a", F.col("m").alias("b"))
-    return linked.union(ends).where("a <> b").distinct()
+    return linked.union(ends).where("a <> b").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,9 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now, state = stage(edges.where("a <> b").distinct(), "links"), None
     while True:
-        after = stage(_small_star(_large_star(now)), "links")
-        release(spark, now)
-        now = after
+        for star in (_large_star, _small_star):
+            linked, least = star(now)
+            after = stage(linked, "links")
+            release(spark, now, least)
+            now = after
         # a link (a, b) hides its ends in two sums that change with any link
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == state:

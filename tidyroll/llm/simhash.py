@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyroll.operators.staging import stage
+from tidyroll.operators.staging import release, stage
 
 from .components import components
+from .hot import counted_join
 from .texts import per_text
 
 BITS, SEED = 64, 42
@@ -244,11 +245,15 @@ def near_duplicates(
     """For each document: doc_id, fp, component_id (the least doc_id reachable by links)."""
     marked = fingerprints(docs, shingle, text, (doc_id,)).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fp")
     marked = stage(marked, "fingerprints")
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, distance))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = stage(rooted, "rooted")
+    ids = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "ids")
+    # a component may hold a large share of the fingerprints, a fingerprint of the documents
+    named = counted_join(rooted.select("fp", "n", "root"), ids, "root", "members", rooted.count())
+    named = stage(named.select("fp", "n", "component_id"), "named")
+    release(docs.sparkSession, nodes, rooted, ids)
+    return counted_join(marked, named, "fp", "n", marked.count()).select("doc_id", "fp", "component_id")
