@@ -130,13 +130,11 @@ def _stack(lists: list[list[int]]) -> np.ndarray:
 
 
 def build(vectors: DataFrame, shards: int) -> DataFrame:
-    """One tree for each shard and length of vectors (columns vec_id, vector): dim, shard, tree."""
+    """One tree for each shard and length of distinct rows (vec_id, vector): dim, shard, tree."""
 
     def run(key, table):
         ids = table.column("vec_id").to_numpy()
-        rows = np.column_stack([ids, _stack(table.column("vector").to_pylist())])
-        rows = np.unique(rows, axis=0)
-        tree = Tree(rows[:, 0], rows[:, 1:])
+        tree = Tree(ids, _stack(table.column("vector").to_pylist()))
         return pa.table(
             {"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
              "tree": pa.array([pickle.dumps(tree)], pa.binary())}
@@ -194,9 +192,10 @@ def top_k(
     rows = vectors.select(
         F.col(f"`{vec_id}`").cast("long").alias("vec_id"), quantised(F.col(f"`{vector}`"), scale).alias("vector")
     ).where("vec_id is not null and vector is not null")
-    rows = stage(rows, "vectors")
+    # equal rows are one before they are dealt, so that they don't all meet in one shard
+    rows = stage(rows.distinct(), "vectors")
     key = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
-    asked = rows.where(F.col("vec_id") % every == 0).distinct().withColumn("key", key)
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("key", key)
     n, m = rows.count(), asked.count()
     shards, blocks = 1 + n // shard, 1 + m // BLOCK
     trees = stage(build(rows, shards), "trees")
