@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from tidyroll.llm import components, decontamination, quality, simhash, suffix_dedup, token_store, topk, window_dedup
+from tidyroll.llm import components, decontamination, hot, quality, simhash, suffix_dedup, token_store, topk, window_dedup
 from tidyroll.llm import queries as Q
 from tidyroll.llm.pieces import pieces
 
@@ -133,6 +133,26 @@ def test_split_groups_change_nothing(spark, hard, monkeypatch):
     assert rows(small) == sorted(brute.top_k(vectors), key=repr)
 
 
+def test_hot_and_other_keys_change_nothing(spark, hard, monkeypatch):
+    """Tables this small have hot keys only; a larger share leaves some to be shuffled."""
+    folder, docs, _, _ = hard
+    star = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 320)] + [(500, 501)]
+    edges = spark.createDataFrame(star, "a long, b long")
+    for share in (1, 3):
+        monkeypatch.setattr(hot, "SHARE", share)
+        got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+        assert got == dict.fromkeys(range(1, 200), 0) | dict.fromkeys(range(301, 321), 300) | {501: 500}
+    assert rows(Q.link_simhash(spark, folder)) == sorted(brute.simhash(docs), key=repr)
+    assert rows(Q.remove_strings(spark, folder)) == sorted(brute.suffix_dedup(docs), key=repr)
+    assert rows(Q.remove_windows(spark, folder)) == sorted(brute.window_dedup(docs), key=repr)
+
+
+def test_equal_vectors_are_one_row(spark):
+    vectors = [(50, [1.0, 2.0])] * 40 + [(1, [1.0, 1.0])] * 40 + [(100, [0.0, 1.0])]
+    got = rows(topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), shard=20))
+    assert got == sorted(brute.top_k(vectors), key=repr)
+
+
 def test_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(200))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (7, "other")], "doc_id long, text string")
