@@ -41,6 +41,20 @@ def test_split_join_is_the_join(keyed, monkeypatch, how):
     assert plain(split) == expected
 
 
+def test_split_pairs_are_the_join(keyed, monkeypatch):
+    """Hot keys on either side, and on both."""
+    left = keyed[0].where("id < 900")
+    right = keyed[0].where("id % 7 = 0").withColumnRenamed("id", "other")
+    expected = plain(left.join(right, ["k"]))
+    monkeypatch.setattr(skew, "SHARE", 10)
+    for most in (50, 150, 350, 10_000):
+        monkeypatch.setattr(skew, "MIN_ROWS", most)
+        counts = measured(left), measured(right)
+        pairs = skew.split_pairs(left, right, ["k"], counts, ("id", "other"))
+        assert pairs.columns == ["k", "id", "other"]
+        assert plain(pairs) == expected
+
+
 def test_no_hot_key_is_a_plain_join(keyed):
     left, right = keyed
     joined = skew.split_join(left, right, ["k"], measured(left), spread="id")

@@ -70,6 +70,38 @@ def split_join(
     """
     if counts.size is None:
         return left.join(right, keys, how)
+    left, right = _dealt(left, right, keys, counts, spread, _PIECE)
+    return left.join(right, [*keys, _PIECE], how).drop(_PIECE)
+
+
+def split_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    counts: tuple[KeyCounts, KeyCounts],
+    spread: tuple[str, str],
+) -> DataFrame:
+    """Inner join of two sides that may both have many rows of a key, splitting the hot keys.
+
+    `counts` and `spread` are those of the left and of the right side. The rows of a key that is
+    hot on one side are dealt to pieces there and copied to each piece on the other, so a row is
+    copied once for the pairs that it makes with a whole piece.
+    """
+    pieces = []
+    if counts[0].size is not None:
+        pieces.append(f"{_PIECE}_left")
+        left, right = _dealt(left, right, keys, counts[0], spread[0], pieces[-1])
+    if counts[1].size is not None:
+        pieces.append(f"{_PIECE}_right")
+        right, left = _dealt(right, left, keys, counts[1], spread[1], pieces[-1])
+    return left.join(right, [*keys, *pieces]).drop(*pieces)
+
+
+def _dealt(
+    many: DataFrame, other: DataFrame, keys: list[str], counts: KeyCounts, spread: str, name: str
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the piece of each row in column `name`: dealt on the side with many rows
+    of a key, copied to every piece on the other."""
     hot = F.broadcast(hot_keys(counts, keys))
     dealt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce(_PIECES, F.lit(1))).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(_PIECES, F.lit(1)) - 1))
@@ -78,8 +110,8 @@ def split_join(
         return (
             df.withColumn(_HASH, F.xxhash64(*keys))
             .join(hot, _HASH, "left")
-            .withColumn(_PIECE, piece)
+            .withColumn(name, piece)
             .drop(_HASH, _PIECES)
         )
 
-    return tagged(left, dealt).join(tagged(right, copies), [*keys, _PIECE], how).drop(_PIECE)
+    return tagged(many, dealt), tagged(other, copies)
