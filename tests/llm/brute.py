@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -152,3 +153,67 @@ def window_dedup(docs, window=20):
         kept = " ".join(w for i, w in enumerate(words) if i not in gone)
         out.append((doc, len(words), len(gone), sha(kept.encode())))
     return out
+
+
+def merkle(docs):
+    """Rows of (doc_id, source, lang, n_chars, text)."""
+
+    def h(text):
+        return sha(text.encode())
+
+    def leaf(row, low=False):
+        text = row[4].translate(LOWER) if low and row[4] is not None else row[4]
+        fields = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (*row[:4], text)]
+        return h("".join(fields))
+
+    steps = [[] for _ in docs]
+
+    def root(nodes, members):
+        while len(nodes) > 1:
+            runs = [range(k, min(k + 16, len(nodes))) for k in range(0, len(nodes), 16)]
+            for run in runs:
+                for own in run:
+                    step = "".join(nodes[run[0] : own]), "".join(nodes[own + 1 : run[-1] + 1])
+                    for i in members[own]:
+                        steps[i].append(step)
+            nodes, members = (
+                [h("".join(nodes[k] for k in run)) for run in runs],
+                [[i for k in run for i in members[k]] for run in runs],
+            )
+        return nodes[0] if nodes else None
+
+    by_source = {}
+    for i, row in enumerate(docs):
+        by_source.setdefault(row[1], []).append((row[0] is not None, row[0] or 0, leaf(row), i))
+    order = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    rows = {s: sorted(by_source[s]) for s in order}
+    subroots = {s: root([r[2] for r in rows[s]], [[r[3]] for r in rows[s]]) for s in order}
+    whole = root([subroots[s] for s in order], [[r[3] for r in rows[s]] for s in order])
+    out = []
+    for row, path in zip(docs, steps, strict=True):
+        folded = leaf(row, row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0)
+        for first, last in path:
+            folded = h(first + folded + last)
+        proof = h("".join(a + b for a, b in path))
+        out.append((row[0], leaf(row), subroots[row[1]], whole, proof, folded, folded == whole))
+    return out
+
+
+def sharding(docs, shards=16):
+    """One heap over all groups; rows that are equal have slots beside each other."""
+    groups = {}
+    for doc, text in docs:
+        key = b"" if text is None else hashlib.sha256(text.encode()).digest()
+        groups.setdefault(key, []).append((doc is not None, doc or 0, key, doc, text or ""))
+    bytes_of = {k: sum(len(r[4].encode()) + 1 for r in g) for k, g in groups.items()}
+    heap = [(0, s) for s in range(shards)]
+    held = [[] for _ in heap]
+    for key in sorted(groups, key=lambda k: (-bytes_of[k], k)):
+        load, shard = heap[0]
+        heapq.heapreplace(heap, (load + bytes_of[key], shard))
+        held[shard] += groups[key]
+    return [
+        (r[3], len(r[4].encode()) + 1, zlib.crc32(r[4].encode()), "bytes", shard, slot, None)
+        for shard, members in enumerate(held)
+        for slot, r in enumerate(sorted(members, key=lambda r: r[:3]))
+    ]

@@ -43,7 +43,7 @@ def hard(spark, tmp_path_factory):
     n = len(ids)
     pq.write_table(
         pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "n_chars": pa.nulls(n, pa.int64()),
-                  "n_tokens": pa.nulls(n, pa.int32()), "row": pa.nulls(n, pa.string()), "key": pa.nulls(n, pa.string())}),
+                  "source": pa.array(["big"] * n, pa.string()), "lang": pa.nulls(n, pa.string()), "n_tokens": pa.nulls(n, pa.int32()), "row": pa.nulls(n, pa.string()), "key": pa.nulls(n, pa.string())}),
         folder / "documents.parquet",
     )
     pq.write_table(
@@ -78,6 +78,8 @@ def test_against_plain_versions(spark, hard):
         (Q.remove_strings, brute.suffix_dedup(docs)),
         (Q.remove_windows, brute.window_dedup(docs)),
         (Q.search, brute.top_k(vectors)),
+        (Q.build_manifest, brute.merkle([(d, "big", None, None, t) for d, t in docs])),
+        (Q.deal_shards, brute.sharding(docs)),
     ):
         assert rows(query(spark, folder)) == sorted(expected, key=repr), query.__name__
 

@@ -14,7 +14,9 @@ from . import (
     byte_bpe,
     decontamination,
     lm_scoring,
+    merkle,
     quality,
+    sharding,
     simhash,
     suffix_dedup,
     token_counts,
@@ -88,6 +90,14 @@ def remove_windows(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.digests(_table(spark, folder, "documents"))
 
 
+def build_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digests(_table(spark, folder, "documents"))
+
+
+def deal_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.digests(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate,
     "op2_byte_bpe": encode_bytes,
@@ -99,4 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": link_simhash,
     "op9_suffix_dedup": remove_strings,
     "op10_window_dedup": remove_windows,
+    "op11_merkle": build_manifest,
+    "op13_sharding": deal_shards,
 }
