@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
@@ -217,3 +218,68 @@ def sharding(docs, shards=16):
         for shard, members in enumerate(held)
         for slot, r in enumerate(sorted(members, key=lambda r: r[:3]))
     ]
+
+
+def token_bytes():
+    """Ids of both tokenizers for a text, and the bytes of each id."""
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(x): x for x in prints}
+    byte_of |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in prints)}
+
+    def spell_b(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("\u2581", " ").encode()
+
+    def both(text):
+        if not text:
+            return [], []
+        one = [(i, bytes(byte_of[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+        other = [(i, spell_b(i)) for i in b.encode(text)]
+        raw = (" " + text).encode()
+        same = all(b"".join(x for _, x in side) == raw for side in (one, other))
+        return (one, other) if same else ([], [])
+
+    return both
+
+
+def alignment(docs):
+    both = token_bytes()
+    rows, counts = [], Counter()
+    for doc, text in docs:
+        sides = []
+        for side in both(text):
+            at, ranges = 0, []
+            for i, raw in side:
+                ranges.append((i, at, at + len(raw)))
+                at += len(raw)
+            sides.append(ranges)
+        links, low = [], 0
+        for i, start, end in sides[0]:
+            while low < len(sides[1]) and sides[1][low][2] <= start:
+                low += 1
+            at = low
+            while at < len(sides[1]) and sides[1][at][1] < end:
+                links.append((i, sides[1][at][0]))
+                at += 1
+        counts.update(links)
+        ends = sorted({e for _, _, e in sides[0]} & {e for _, _, e in sides[1]})
+        parts, at = [], [0, 0]
+        for end in ends:
+            names = []
+            for k, side in enumerate(sides):
+                first = at[k]
+                while at[k] < len(side) and side[at[k]][2] <= end:
+                    at[k] += 1
+                names.append(",".join(str(i) for i, _, _ in side[first : at[k]]))
+            parts.append("|".join(names))
+        rows.append((doc, sides, ends, links, sha(";".join(parts).encode()) if parts else ""))
+    highest = {}
+    for (_, j), n in counts.items():
+        highest[j] = max(n, highest.get(j, 0))
+    return [
+        (doc, len(a), len(b), len(ends), len(links), sum(counts[x] == highest[x[1]] for x in links), sum(counts[x] for x in links), groups)
+        for doc, (a, b), ends, links, groups in rows
+    ]

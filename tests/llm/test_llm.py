@@ -80,8 +80,9 @@ def test_against_plain_versions(spark, hard):
         (Q.search, brute.top_k(vectors)),
         (Q.build_manifest, brute.merkle([(d, "big", None, None, t) for d, t in docs])),
         (Q.deal_shards, brute.sharding(docs)),
+        (lambda s, f: Q.align_tokenizers(s, f).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), brute.alignment(docs)),
     ):
-        assert rows(query(spark, folder)) == sorted(expected, key=repr), query.__name__
+        assert rows(query(spark, folder)) == sorted(expected, key=repr), query
 
 
 def test_sample_against_plain_versions(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidyroll.operators.staging import new_path
 
 from . import (
+    alignment,
     byte_bpe,
     decontamination,
     lm_scoring,
@@ -94,6 +95,12 @@ def build_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.digests(_table(spark, folder, "documents"))
 
 
+def align_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(_table(spark, folder, "documents"), *paths)
+    return carried(found, *(c for c in found.columns if c != "row"))
+
+
 def deal_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digests(_table(spark, folder, "documents"))
 
@@ -110,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": remove_strings,
     "op10_window_dedup": remove_windows,
     "op11_merkle": build_manifest,
+    "op12_alignment": align_tokenizers,
     "op13_sharding": deal_shards,
 }
