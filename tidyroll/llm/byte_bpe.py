@@ -14,7 +14,6 @@ rows are encoded alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Sequence
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from .pair_table import NONE, PairTable
 from .pieces import PieceIds, Together, ragged
 from .texts import per_text
+from .worker import held
 
 #: Widths of the length buckets, in bytes. Longer pre-tokens merge in a list with a heap,
 #: as a row of a matrix would cost a pass over its width for each merge.
@@ -62,9 +62,10 @@ class ByteBpe:
         self.token_bytes = np.frombuffer(b"".join(t for t, _ in by_rank), np.uint8)
         self.memory = PieceIds(self._pieces)
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers."""
-        return self.memory.texts(list(texts))
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text, as unsigned 32-bit integers."""
+        ids, counts = self.memory.of(texts)
+        return np.split(ids, np.cumsum(counts)[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, one token after another."""
@@ -195,12 +196,15 @@ class ByteBpe:
         return np.array([x for x in ids if x >= 0], np.uint32)
 
 
-@functools.lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     """The tokenizer of a rank file; kept by a Python worker for its next tasks."""
-    lines = Path(path).read_bytes().splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, lines))}
-    return ByteBpe(ranks, pattern)
+
+    def make() -> ByteBpe:
+        lines = Path(path).read_bytes().splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, lines))}
+        return ByteBpe(ranks, pattern)
+
+    return held(("byte_bpe", path, pattern), make)
 
 
 def encode(
@@ -215,7 +219,7 @@ def encode(
         bpe = load(path, pattern)
 
         def process(texts):
-            ids = bpe.encode([(t or b"").decode(errors="replace") for t in texts])
+            ids = bpe.encode(texts)
             return (
                 pa.array(ids, pa.list_(pa.int32())),
                 pa.array([bpe.decode(i) for i in ids], pa.binary()),
@@ -235,7 +239,7 @@ def digests(
         bpe = load(path, pattern)
 
         def process(texts):
-            ids = bpe.encode([(t or b"").decode(errors="replace") for t in texts])
+            ids = bpe.encode(texts)
             return (
                 pa.array([len(i) for i in ids], pa.int64()),
                 pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string()),

@@ -17,7 +17,6 @@ result. An empty benchmark hits nothing; empty documents give an empty result.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
@@ -30,6 +29,7 @@ from pyspark.sql import types as T
 from tidyroll.operators.staging import stage
 
 from .texts import chunks
+from .worker import held
 
 #: Words of a window, and bytes of the windows in one automaton.
 WINDOW = 10
@@ -77,14 +77,17 @@ def windows(benchmark: DataFrame, size: int = WINDOW, item: str = "item_id", tex
     return found.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-@functools.lru_cache(maxsize=1)
 def _automaton(shared) -> tuple[ahocorasick.Automaton, list[list[int]]]:
     """Built once in a Python worker, from patterns that were sent to it."""
-    automaton = ahocorasick.Automaton()
-    for i, (pattern, _) in enumerate(shared.value):
-        automaton.add_word(pattern.decode("latin-1"), (i, pattern.count(b" ") - 1))
-    automaton.make_automaton()
-    return automaton, [items for _, items in shared.value]
+
+    def make() -> tuple[ahocorasick.Automaton, list[list[int]]]:
+        automaton = ahocorasick.Automaton()
+        for i, (pattern, _) in enumerate(shared.value):
+            automaton.add_word(pattern.decode("latin-1"), (i, pattern.count(b" ") - 1))
+        automaton.make_automaton()
+        return automaton, [items for _, items in shared.value]
+
+    return held(("decontamination", shared), make)
 
 
 def _scan(docs: DataFrame, patterns: list[tuple[bytes, list[int]]]) -> DataFrame:

@@ -17,7 +17,6 @@ occur. With an empty target, or empty documents, the loss of the target is that
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidyroll.operators.staging import stage
 
-from .pieces import REMEMBERED
 from .texts import chunks, per_text
+from .worker import Words, held
 
 #: Cells for words and for pairs, and how many words the smoothing counts for.
 WORDS, PAIRS, STRENGTH = 1 << 18, 1 << 21, 20.0
@@ -42,18 +41,14 @@ class Cells:
 
     def __init__(self, words: int = WORDS, pairs: int = PAIRS):
         self.words, self.pairs = words, pairs
-        self.known: dict[bytes, int] = {}
+        self.known = Words(lambda found: (1 + xxhash.xxh64_intdigest(w) % (self.words - 1) for w in found))
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word: its cell, the cell of the word before it (the first of all stands for
         the start of a text), and the cell of the pair, behind those of the words."""
         words = text.translate(_LOWER).split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = 1 + xxhash.xxh64_intdigest(word) % (self.words - 1)
-        cells = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.known.learn(set(words))
+        cells = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         before = np.concatenate([np.zeros(min(1, len(cells)), np.int64), cells[:-1]])
         mixed = (before.astype(np.uint64) * np.uint64(self.words) + cells.astype(np.uint64)) * _FACTOR
         return cells, before, ((mixed >> np.uint64(32)) % np.uint64(self.pairs)).astype(np.int64) + self.words
@@ -109,14 +104,15 @@ class Model:
         own = (table[cell] + STRENGTH / self.words) / self.totals[which]
         return -np.log((table[pair] + STRENGTH * own) / (np.maximum(table[before], table[pair]) + STRENGTH))
 
-    def differences(self, cell: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Per-word loss of the target less that of the background."""
-        return self.losses(1, cell, before, pair) - self.losses(0, cell, before, pair)
 
+def _shared(model) -> tuple[Model, Cells]:
+    """Kept by a Python worker for its next tasks."""
 
-@functools.lru_cache(maxsize=1)
-def _shared(model) -> Model:
-    return Model(*model.value)
+    def make() -> tuple[Model, Cells]:
+        table, words = model.value
+        return Model(table, words), Cells(words, table.shape[1] - words)
+
+    return held(("lm_scoring", model), make)
 
 
 def score(
@@ -132,7 +128,7 @@ def score(
     shared = spark.sparkContext.broadcast((table, words))
 
     def make():
-        model, cells = _shared(shared), Cells(words, pairs)
+        model, cells = _shared(shared)
 
         def process(texts):
             out = np.zeros((len(texts), 2))

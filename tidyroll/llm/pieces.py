@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 import numpy as np
-
-#: Pieces that a task remembers; with more, it forgets all and goes on.
-REMEMBERED = 1 << 20
-
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .worker import ENTRY_BYTES, MEMORY_BYTES
+
+_MARKS = string.punctuation
+#: Texts that have to be looked at more closely: empty ones, and those with white space beside white
+#: space, at an end, or of another kind than space and line feed.
+_ODD = (
+    r"\A\z|[ \n][ \n]|\A[ \n]|[ \n]\z"
+    r"|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 _OTHER = re.compile(r"[^\S \n]|\0")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
@@ -43,10 +52,11 @@ class Together:
 
     @staticmethod
     def _kind(text: str) -> int:
-        bare = text.strip()
-        if len(bare) == len(text):
-            return 1
-        return 0 if text[0] == " " and len(bare) == len(text) - 1 else 2
+        if text[-1].isspace():
+            return 2
+        if text[0] == " ":
+            return 2 * text[1].isspace()
+        return 2 if text[0].isspace() else 1
 
     def runs(self, sizes: np.ndarray, part_sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """For each piece as they were given, where its run of tokens starts, and how long it is.
@@ -60,8 +70,33 @@ class Together:
         return starts[back], (ends - starts)[back]
 
 
+def cut(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The `pieces` of texts, one text after another, and how many each has."""
+    try:
+        values = pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that aren't UTF-8
+        values = pa.array([(t or b"").decode(errors="replace") for t in texts], pa.string())
+    odd = pc.match_substring_regex(values, _ODD).to_numpy(zero_copy_only=False)
+    plain = pc.replace_substring(values.filter(pa.array(~odd)), " ", "\0 ")
+    plain = pc.split_pattern(pc.replace_substring(plain, "\n", "\0\n\0"), "\0")
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[~odd] = pc.list_value_length(plain).to_numpy(zero_copy_only=False)
+    others = [pieces(t) if t else [] for t in values.filter(pa.array(odd)).to_pylist()]
+    sizes[odd] = [len(x) for x in others]
+    flat = plain.flatten()
+    if others:
+        flat = pa.concat_arrays([flat, pa.array([p for x in others for p in x], pa.string())])
+        # from plain texts first to the order of the texts
+        starts = np.zeros(len(texts), np.int64)
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        flat = flat.take(pa.array(ragged(np.arange(len(flat)), starts, sizes)))
+    return flat, sizes
+
+
 class PieceIds:
-    """Token ids of texts from the ids of their pieces; each distinct piece is encoded once.
+    """Token ids of texts from the ids of their pieces; each distinct piece is encoded once and
+    remembered, up to a bound in bytes.
 
     `encode` gives the ids of pieces, one after another, and how many each has.
     """
@@ -69,34 +104,59 @@ class PieceIds:
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        most: int = REMEMBERED,
+        most: int = MEMORY_BYTES,
     ):
         self.encode, self.most = encode, most
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.bytes = 0
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [pieces(t) if t else [] for t in texts]
-        distinct = set().union(*cut)
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > self.most:
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 texts, one text after another, and how many each has."""
+        flat, sizes = cut(texts)
+        coded = pc.dictionary_encode(flat)
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = known[coded.indices.to_numpy()]
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        last = np.cumsum(sizes)
+        return ragged(self.ids, self.starts[at], lengths), ends[last] - ends[last - sizes]
+
+    def _learn(self, distinct: list[str]) -> None:
+        if self.bytes > self.most:
             self._forget()
-            new = list(distinct)
+        known = self.known
+        new = [p for p in distinct if p not in known]
+        # marks at the end of a word are pre-tokens of their own, so the word is encoded without them
+        marked = {}
+        for p in new:
+            if p[-1] in _MARKS and (word := p.rstrip(_MARKS)) and word[-1].isalnum():
+                marked[p] = (word, p[len(word) :])
+        if marked:
+            parts = {part for both in marked.values() for part in both if part not in known}
+            self._add(list(parts.union(new).difference(marked)))
+            both = np.array([(known[a], known[b]) for a, b in marked.values()], np.int64).reshape(-1)
+            lengths = self.starts[both + 1] - self.starts[both]
+            self._keep(list(marked), ragged(self.ids, self.starts[both], lengths), lengths.reshape(-1, 2).sum(axis=1))
+        else:
+            self._add(new)
+
+    def _add(self, new: list[str]) -> None:
         if new:
-            found, lengths = self.encode(new)
-            size = len(self.known)
-            self.known.update(zip(new, range(size, size + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, found.astype(np.uint32, copy=False)])
-        return [self._gather(p) for p in cut]
-
-    def _gather(self, cut: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut))
-        return ragged(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
+            self._keep(new, *self.encode(new))
+
+    def _keep(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        size = len(self.known)
+        self.known.update(zip(new, range(size, size + len(new)), strict=True))
+        self.bytes += ENTRY_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -14,7 +14,6 @@ the highest grade. Empty documents give an empty result.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidyroll.operators.staging import release, stage
 
-from .pieces import REMEMBERED
 from .texts import per_text
+from .worker import Words, held
 
 #: Hashed weights, labelled rows that are fitted at most, and steps of the fit.
 WEIGHTS, SAMPLE, STEPS = 1 << 18, 20_000, 400
@@ -57,7 +56,7 @@ class Features:
 
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[bytes, int] = {}
+        self.known = Words(lambda words: map(self._places, words))
 
     def _places(self, word: bytes) -> int:
         core = word.translate(_LOWER).strip(_MARKS)
@@ -69,12 +68,8 @@ class Features:
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Places and values of a text's features."""
         words = text.split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = self._places(word)
-        both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.known.learn(set(words))
+        both = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         cores = np.unique(both >> 32)
         shapes, counts = np.unique(both & 0xFFFFFFFF, return_counts=True)
         shapes = shapes[counts >= OFTEN * len(words)]
@@ -163,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = WE
     rated = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def make():
-        features = Features(size)
+        features = _features(size)
 
         def process(texts):
             found = [features.of(t or b"") for t in texts]
@@ -195,10 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = WE
     return np.frombuffer(bytes(model["weights"]), np.float32), np.array(model["cuts"])
 
 
-@functools.lru_cache(maxsize=1)
-def _shared(model) -> tuple[Features, np.ndarray, np.ndarray]:
-    weights, cuts = model.value
-    return Features(len(weights)), weights, cuts
+def _features(size: int) -> Features:
+    """Kept by a Python worker, from the fit to the scores."""
+    return held(("quality", size), lambda: Features(size))
 
 
 def score(
@@ -215,7 +209,8 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as many numbers as weights
 
     def make():
-        features, weights, cuts = _shared(shared)
+        weights, cuts = shared.value
+        features = _features(len(weights))
 
         def process(texts):
             scores = np.zeros(len(texts))

@@ -14,7 +14,6 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -28,9 +27,8 @@ from pyspark.sql import DataFrame
 
 from .pair_table import NONE, PairTable
 from .texts import per_text
+from .worker import Words, held
 
-#: Words whose counts a task remembers; with more, it forgets all and goes on.
-REMEMBERED = 1 << 19
 #: Symbols that merge together in one array.
 SYMBOLS = 1 << 21
 #: White space to `str.split`, but not to the tokenizer.
@@ -72,7 +70,7 @@ class WordBpe:
         self.at_once = used[made] > rank
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
-        self.known: dict[str, int] = {}
+        self.known = Words(self._words)
 
     def counts(self, texts: Sequence[str]) -> list[int]:
         """The number of tokens of each text."""
@@ -85,13 +83,7 @@ class WordBpe:
                 odd = _SEPARATORS.search(part)
                 words += filter(None, _SPACE.split(part)) if odd else part.split()
             cut.append(words)
-        distinct = set().union(*cut)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(distinct)
-        if new:
-            self.known.update(zip(new, self._words(new), strict=True))
+        self.known.learn(set().union(*cut))
         return [sum(map(self.known.__getitem__, w)) + n for w, n in zip(cut, extra, strict=True)]
 
     def _words(self, words: list[str]) -> list[int]:
@@ -160,10 +152,9 @@ def _lower(word: str) -> str:
     return "".join(map(str.lower, word)) if "Σ" in word else word.lower()
 
 
-@functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     """The counter of a tokenizer file; kept by a Python worker for its next tasks."""
-    return WordBpe(json.loads(Path(path).read_text("utf-8")))
+    return held(("token_counts", path), lambda: WordBpe(json.loads(Path(path).read_text("utf-8"))))
 
 
 def count_tokens(

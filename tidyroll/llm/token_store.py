@@ -16,11 +16,10 @@ follow each other in the order of a hash of their texts. An empty table gives an
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .pieces import PieceIds, Together, ragged
 from .texts import chunks
+from .worker import held
 
 WORD, BLOCK = 8, 64  # bits of a chunk; bytes of a bitmap to one entry of its directory
 _HEAD = struct.Struct("<4sQ")
@@ -103,8 +103,11 @@ class Codes:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def _library(path: str) -> PieceIds:
+    return held(("token_store", path), lambda: PieceIds(_encoder(path)))
+
+
+def _encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
@@ -127,7 +130,7 @@ def _library(path: str) -> PieceIds:
         starts, counts = todo.runs(sizes[ids], [len(p.encode()) for p in todo.parts])
         return ragged(ids, starts, counts), counts
 
-    return PieceIds(encode)
+    return encode
 
 
 def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
@@ -151,13 +154,8 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
         for batch in batches:
             for start, stop in chunks(batch.column(1)):
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
-                ids = memory.texts([(t or b"").decode(errors="replace") for t in texts])
-                lengths = [len(i) + 1 for i in ids]
-                flat = np.full(sum(lengths), end, np.uint32)
-                at = 0
-                for i in ids:
-                    flat[at : at + len(i)] = i
-                    at += len(i) + 1
+                ids, counts = memory.of(texts)
+                flat = np.insert(ids, np.cumsum(counts), end)
                 doc_ids = batch.column(0).slice(start, stop - start).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -165,7 +163,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
                         pa.array([first], pa.int64()),
                         pa.array([len(flat)], pa.int64()),
                         pa.array([doc_ids], pa.list_(pa.int64())),
-                        pa.array([lengths], pa.list_(pa.int64())),
+                        pa.array([counts + 1], pa.list_(pa.int64())),
                         pa.array([pack(flat)], pa.binary()),
                     ],
                     names=["shard", "first", "n_ids", "doc_ids", "lengths", "codes"],
