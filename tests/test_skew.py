@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidyroll import duplicate_contacts
-from tidyroll.operators import skew
+from tidyroll import MatchParams, duplicate_contacts, move_suggestions
+from tidyroll.operators import candidates, repeats, skew
 
 
 @pytest.fixture
@@ -114,3 +114,79 @@ def test_a_third_in_one_group_is_spread(spark, make_views, monkeypatch):
     assert split == whole
     assert sum(1 for r in whole if r[2] == "info@x") == rows / 3
     assert max(sizes) < rows / 6
+
+
+def _busy_contact(spark, make_views, addresses):
+    """One parked contact with many addresses of one company's domain, and a few others."""
+    views = make_views(
+        company=[{"Company_RecID": 1, "Company_Name": "Parked"}, {"Company_RecID": 2, "Company_Name": "Two"}],
+        contact=[
+            {"Contact_RecID": 1, "Company_RecID": 1},
+            {"Contact_RecID": 2, "Company_RecID": 2},
+            {"Contact_RecID": 3, "Company_RecID": 1},
+        ],
+    )
+    n = F.col("id")
+    contact = F.when(n < addresses, 1).when(n < addresses + 3, 2).otherwise(3)
+    domain = F.when(n == addresses + 2, "@two.example_old").otherwise("@two.example")
+    views["communication"] = spark.range(addresses + 5).select(
+        n.alias("Contact_Communication_RecID"),
+        contact.cast("bigint").alias("Contact_RecID"),
+        F.lit("Email").alias("Communication_Name"),
+        F.concat(F.lit("u"), n, domain).alias("Contact_Communication_Desc"),
+    )
+    return views, MatchParams(catch_all_company=1, own_company=9, own_domains=("own.example",))
+
+
+@pytest.fixture
+def twenty_partitions(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def _per_task(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_rows_of_a_contact_with_many_addresses_are_dealt(spark, make_views, monkeypatch, twenty_partitions):
+    """300 addresses of one contact see two rows of one company: 180,000 rows, in many tasks."""
+    views, params = _busy_contact(spark, make_views, 300)
+    matches = candidates.contact_matches(views, params)
+    assert matches.per_contact.most == 300
+    rows = candidates.single_match(matches, views).where("Contact_RecID = 1")
+    counts = rows.groupBy("CandidateContactCountOnCompany").count().collect()
+    assert sorted(map(tuple, counts)) == [(1, 90_000), (2, 90_000)]
+    assert len(_per_task(rows)) == 1  # less than IN_PLACE
+    monkeypatch.setattr(repeats, "IN_PLACE", 50_000)
+    dealt = candidates.single_match(matches, views)
+    sizes = _per_task(dealt.where("Contact_RecID = 1"))
+    assert sum(sizes) == 180_000 and len(sizes) > 10 and max(sizes) < 180_000 / 5
+    assert dealt.exceptAll(candidates.single_match(matches, views)).isEmpty()
+
+
+def test_dealt_report_is_the_report(spark, make_views, monkeypatch, twenty_partitions):
+    views, params = _busy_contact(spark, make_views, 25)
+    whole = plain(move_suggestions(views, params, ordered=False))
+    assert len(whole) == 2 * (25**3 + 2**3)
+    monkeypatch.setattr(repeats, "IN_PLACE", 100)
+    monkeypatch.setattr(repeats, "COPIES", 50)
+    report = move_suggestions(views, params, ordered=False)
+    sizes = _per_task(report)
+    assert len(sizes) > 10 and max(sizes) < len(whole) / 5
+    assert plain(report) == whole
+    ordered = [tuple(r) for r in move_suggestions(views, params).collect()]
+    assert sorted(ordered, key=str) == whole
+
+
+def test_ordinals_of_dealt_copies(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1), (2, 9), (3, 10), (4, 11), (5, 95)], "k long, n long")
+    expected = [(k, n, i) for k, n in map(tuple, rows.collect()) for i in range(1, n + 1)]
+    monkeypatch.setattr(repeats, "COPIES", 10)
+    for most in (95, 1 << 30):
+        found = repeats.repeat_rows(rows, F.col("n"), "i", most, ["k"])
+        assert sorted(map(tuple, found.collect())) == expected
