@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
-from tidyroll.llm import alignment, texts
+from tidyroll.llm import alignment
 from tidyroll.llm import queries as Q
 
 from . import brute
@@ -51,7 +51,7 @@ def test_sample(spark):
 
 
 def test_forgotten_pieces_change_nothing(docs, monkeypatch):
-    texts = [t or "" for _, t in docs]
+    texts = [t and t.encode() for _, t in docs]
     sides = alignment.Sides(*PATHS)
 
     def numbers():
@@ -64,6 +64,7 @@ def test_forgotten_pieces_change_nothing(docs, monkeypatch):
 
     expected = numbers()
     monkeypatch.setattr(alignment, "REMEMBERED", 1000)
+    monkeypatch.setattr(alignment, "BATCH", 7)
     assert numbers() == expected
     sides.cuts = False  # texts whole
     assert numbers() == expected
@@ -102,7 +103,7 @@ def test_counts_are_those_of_the_corpus(spark):
 
 
 def test_long_text_is_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(texts, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 1000)
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choices(["one", "zwei", "drei,", "fünf"], k=n))) for i, n in enumerate([3, 40000, 2, 0, 500])]
     assert rows(alignment.align(spark.createDataFrame(docs, "doc_id long, text string"), *PATHS)) == sorted(brute.alignment(docs), key=repr)

@@ -32,6 +32,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +40,15 @@ from pyspark.sql import types as T
 
 from tidyroll.operators.staging import stage
 
-from .pieces import Together, pieces, ragged
+from .pieces import Together, cut, ragged
 from .texts import chunks, per_text
 from .token_counts import _byte_letters
 from .worker import ENTRY_BYTES, MEMORY_BYTES, held
 
 #: Pieces that are joined to one string for the library of A.
 JOINED = 4096
-#: Bytes of remembered alignments, by estimate.
-REMEMBERED = 2 * MEMORY_BYTES
+#: Bytes of remembered alignments, by estimate, new pieces that are aligned at once, and texts of a chunk.
+REMEMBERED, BATCH, CHUNK_BYTES = MEMORY_BYTES, 1 << 15, 2 << 20
 _B_MASK = (1 << 32) - 1
 
 
@@ -92,12 +93,14 @@ class Sides:
         self.a_names = [str(i) for i in range(len(self.a_bytes))]
         self.b_names = [str(i) for i in known]
 
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a space and the text."""
-        if not self.cuts:
-            return [" " + text]
-        first, *rest = pieces(text)
-        return [" " + first, *rest]
+    def cut(self, texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of a space and each UTF-8 text, one text after another, and how many each has;
+        null and empty texts have none."""
+        flat, sizes = cut(texts, whole=not self.cuts)
+        first = np.zeros(len(flat), bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        spaces = pc.if_else(pa.array(first), " ", "")
+        return pc.binary_join_element_wise(spaces, flat, ""), sizes
 
     def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after another, and how many each has."""
@@ -139,35 +142,42 @@ class Aligned:
         self.pairs = np.zeros(0, np.int64)
         self.ends = np.zeros(1, np.int64)
 
-    def documents(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the texts' pieces, one text after another, and how many each has; a text
         without tokens has none."""
-        cut = [self.sides.cut(t) if t else [] for t in texts]
-        self._learn(set().union(*cut))
-        at = [np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in cut]
-        for i, found in enumerate(at):
-            if len(found) and not self.whole[found].all():
-                at[i] = found[:0]
-                if self._same_bytes(" " + texts[i], cut[i]):
-                    # pieces differ but the text doesn't: it is aligned in one
-                    self._learn({" " + texts[i]}, forget=False)
-                    at[i] = np.array([self.known[" " + texts[i]]])
-        return np.concatenate([np.zeros(0, np.int64), *at]), np.array([len(x) for x in at], np.int64)
-
-    def _same_bytes(self, text: str, cut: list[str]) -> bool:
+        if self.bytes > REMEMBERED:
+            self._forget()
+        flat, sizes = self.sides.cut(texts)
+        coded = pc.dictionary_encode(flat)
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = known[coded.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), sizes)
+        odd = np.unique(text[~self.whole[at]])
+        if len(odd):
+            parts = np.split(at, np.cumsum(sizes)[:-1])
+            for i in odd.tolist():
+                start = int(sizes[:i].sum())
+                parts[i] = self._in_one(flat[start : start + int(sizes[i])].to_pylist())
+            at, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return at, sizes
+
+    def _in_one(self, cut: list[str]) -> np.ndarray:
+        """The number of a text as one piece, if its tokens spell it though those of its pieces don't."""
+        text = "".join(cut)
         raw = text.encode()
         for encode, spelled in ((self.sides.encode_a, self.sides.a_bytes), (self.sides.encode_b, self.sides.b_bytes)):
-            if b"".join(spelled[i] for i in encode(cut)[0]) != raw:
-                return False
-        return True
+            if b"".join(spelled[i] for i in encode(cut)[0].tolist()) != raw:
+                return np.zeros(0, np.int64)
+        self._learn([text])
+        return np.array([self.known[text]])
 
-    def _learn(self, wanted: set[str], forget: bool = True) -> None:
+    def _learn(self, wanted: list[str]) -> None:
         new = [p for p in wanted if p not in self.known]
-        if forget and self.bytes > REMEMBERED:
-            self._forget()
-            new = list(wanted)
-        if new:
-            self._align(new)
+        # the libraries' results of a batch take many times its size
+        for k in range(0, len(new), BATCH):
+            self._align(new[k : k + BATCH])
 
     def _align(self, new: list[str]) -> None:
         sides, raw = self.sides, [p.encode() for p in new]
@@ -230,10 +240,6 @@ def _load(path_a: str, path_b: str) -> Aligned:
     return held(("alignment", path_a, path_b), lambda: Aligned(Sides(path_a, path_b)))
 
 
-def _decoded(texts: Sequence[bytes | None]) -> list[str]:
-    return [(t or b"").decode(errors="replace") for t in texts]
-
-
 def _by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of `values` (one for each piece) by text."""
     sums = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
@@ -247,7 +253,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry:
     def make():
         def process(texts):
             aligned = _load(path_a, path_b)
-            at, counts = aligned.documents(_decoded(texts))
+            at, counts = aligned.documents(texts)
             named = [aligned.groups[i] for i in at.tolist()]
             ends = np.cumsum(counts).tolist()
             return (pa.array([";".join(named[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], pa.string()),)
@@ -282,15 +288,15 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, text: str = "text"
         aligned = _load(path_a, path_b)
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, end in chunks(batch.column(1)):
-                texts = _decoded(batch.column(1).slice(start, end - start).to_pylist())
+            for start, end in chunks(batch.column(1), CHUNK_BYTES):
+                texts = batch.column(1).slice(start, end - start).to_pylist()
                 yield _chunk(aligned, chunk, batch.column(0).slice(start, end - start), texts)
                 chunk += 1
 
     return stage(frame.mapInArrow(run, schema), "aligned")
 
 
-def _chunk(aligned: Aligned, chunk: int, rows: pa.Array, texts: list[str]) -> pa.RecordBatch:
+def _chunk(aligned: Aligned, chunk: int, rows: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
     at, counts = aligned.documents(texts)
     named = aligned.groups
     flat, ends = at.tolist(), np.cumsum(counts).tolist()

@@ -70,12 +70,15 @@ class Together:
         return starts[back], (ends - starts)[back]
 
 
-def cut(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
-    """The `pieces` of texts, one text after another, and how many each has."""
+def cut(texts: list[bytes | None], whole: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The `pieces` of texts (or texts in one, if `whole`), one text after another, and how many each has."""
     try:
         values = pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string())
     except pa.ArrowInvalid:  # bytes that aren't UTF-8
         values = pa.array([(t or b"").decode(errors="replace") for t in texts], pa.string())
+    if whole:
+        some = pc.greater(pc.binary_length(values), 0)
+        return values.filter(some), some.cast(pa.int64()).to_numpy()
     odd = pc.match_substring_regex(values, _ODD).to_numpy(zero_copy_only=False)
     plain = pc.replace_substring(values.filter(pa.array(~odd)), " ", "\0 ")
     plain = pc.split_pattern(pc.replace_substring(plain, "\n", "\0\n\0"), "\0")
