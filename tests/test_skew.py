@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyroll import MatchParams, duplicate_contacts, move_suggestions
-from tidyroll.operators import candidates, repeats, skew
+from tidyroll.operators import candidates, mailboxes, repeats, sketch, skew
 
 
 @pytest.fixture
@@ -190,3 +190,57 @@ def test_ordinals_of_dealt_copies(spark, monkeypatch):
     for most in (95, 1 << 30):
         found = repeats.repeat_rows(rows, F.col("n"), "i", most, ["k"])
         assert sorted(map(tuple, found.collect())) == expected
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_heavy_keys_are_found(spark, monkeypatch, kind):
+    """Keys over the share are found with their counts, whatever the many others are."""
+    monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    n = F.col("id")
+    key = F.when(n % 3 == 0, -1).when(n % 7 == 0, -2).when(n % 5 == 0, None).otherwise(n)
+    rows = spark.range(200_000).repartition(9).select(key.cast(kind).alias("k"), "id")
+    found = sketch.heavy_keys(rows, "k")
+    assert found.size == 100 and found.most == 66_667
+    expected = rows.groupBy("k").count().where("k is not null and count >= 100").collect()
+    assert sorted(map(tuple, found.keys.collect())) == sorted(map(tuple, expected))
+    assert len(expected) == 2
+    monkeypatch.setattr(skew, "MIN_ROWS", 70_000)
+    assert sketch.heavy_keys(rows, "k").size is None
+    assert sketch.heavy_keys(rows.where("id < 0"), "k").size is None
+
+
+def test_a_company_with_a_third_of_the_rows_is_spread(spark, make_views, monkeypatch, twenty_partitions):
+    """One company has a third of the contacts, and one contact a third of the communications."""
+    rows, n = 6_000, F.col("id")
+    views = make_views(company=[{"Company_RecID": c, "Company_Name": f"C{c}"} for c in range(1000)])
+    views["contact"] = spark.range(rows).select(
+        n.alias("Contact_RecID"),
+        F.when(n % 3 == 0, 7).otherwise(n % 999).cast("bigint").alias("Company_RecID"),
+        F.lit("F").alias("First_Name"),
+        F.lit("L").alias("Last_Name"),
+        F.lit(0).alias("Inactive_Flag"),
+        F.lit(0).alias("Default_Flag"),
+    )
+    views["communication"] = spark.range(rows).select(
+        n.alias("Contact_Communication_RecID"),
+        F.when(n % 3 == 1, 12).otherwise(n).cast("bigint").alias("Contact_RecID"),
+        F.lit("Email").alias("Communication_Name"),
+        F.concat(F.lit("u"), n % 2500, F.lit("@x")).alias("Contact_Communication_Desc"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        whole = plain(mailboxes.email_data(views))
+        monkeypatch.setattr(skew, "MIN_ROWS", 40)
+        emails = mailboxes.email_data(views)
+        sizes = _per_task(emails)
+        assert plain(emails) == whole and len(whole) == rows
+        assert max(sizes) < 2 * rows / 20
+        named = mailboxes.with_company_name(views["contact"], views, "Contact_RecID")
+        assert max(_per_task(named)) < 2 * rows / 20
+        duplicates = duplicate_contacts(views, ordered=False)
+        split = plain(duplicates)
+        assert max(_per_task(duplicates)) < 2 * len(split) / 20
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    monkeypatch.undo()
+    assert plain(duplicate_contacts(views, ordered=False)) == split

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import under
-from ..operators.mailboxes import GROUP, contact_emails
+from ..operators.mailboxes import GROUP, contact_emails, with_company_name
 from ..operators.skew import key_counts, split_join
-from ..operators.staging import stage
+from ..operators.staging import release, stage
 from ..operators.survivors import address_groups
 
 
@@ -26,11 +26,10 @@ def duplicate_contacts(
     says `PRIMARY` or `MERGE`.
     """
     emails = stage(contact_emails(views, collation), "emails")
-    names = views["company"].select("Company_RecID", "Company_Name")
     # All rows of a group have one company, so the company joins the groups, not the rows.
-    groups = stage(
-        address_groups(emails).where(F.col("rows") > 1).join(names, "Company_RecID"), "groups"
-    )
+    found = stage(address_groups(emails).where(F.col("rows") > 1), "found-groups")
+    groups = stage(with_company_name(found, views, "EmailAddress"), "groups")
+    release(found.sparkSession, found)
     rows = split_join(
         emails,
         groups.drop("rows"),
