@@ -198,6 +198,35 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         from doubles_any where merge_with is not null
         """,
     ),
+    "schedule": (
+        ("doubles_any",),
+        """
+        with recursive edge as (
+            select distinct Contact_RecID as x, merge_with as w from doubles_any
+            where merge_with is not null),
+        way as (from edge union all select w, x from edge),
+        reach(n, m) as (select x, x from way union select way.w, reach.m from reach join way on way.x = reach.n),
+        member as (select n, min(m) as component from reach group by n),
+        flags as (select distinct Contact_RecID as w, Contact_InactiveFlag <> 0 as inactive,
+            Primary_Contact <> 1 as ordinary from doubles_any),
+        told as (
+            select *, row_number() over (partition by x order by inactive, ordinary, w) = 1 as made
+            from edge join flags using (w) join member on n = x),
+        call as (
+            select component, inactive, ordinary, w, 2 as phase, 'MERGE' as action, x, w as merge_with
+            from told where made
+            union all
+            select distinct component, inactive, ordinary, w, v.phase, v.action, w, null::bigint
+            from told cross join (values (1, 'ACTIVATE'), (3, 'DEACTIVATE')) v(phase, action)
+            where made and inactive)
+        select component, row_number() over (partition by component
+                order by inactive desc, ordinary desc, w desc, phase, x) as step,
+            action, x as Contact_RecID, merge_with, null::varchar as conflict
+        from call
+        union all
+        select component, null, 'MERGE', x, w, 'two targets' from told where not made
+        """,
+    ),
     "mailbox": (
         ("communication", "contact"),
         """
@@ -451,6 +480,7 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "dup_any": (("doubles_any",), "from doubles_any"),
     "export_merges": (("merges",), "from merges"),
     "merge_plan": (("calls",), "from calls"),
+    "merge_schedule": (("schedule",), "from schedule"),
     "email_domains": (
         ("mailbox",),
         """select Contact_RecID, Contact_Communication_RecID, EmailAddress, EmailDomain,

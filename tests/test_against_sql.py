@@ -21,6 +21,7 @@ REPORTS = (
     "dup_any",
     "export_merges",
     "merge_plan",
+    "merge_schedule",
     "candidates",
     "match_summary",
     "single_match",

@@ -6,6 +6,7 @@ from .plans import (
     duplicate_contacts,
     merge_export,
     merge_plan,
+    merge_schedule,
     move_export,
     move_suggestions,
     write_csv,
@@ -23,6 +24,7 @@ __all__ = [
     "load_views",
     "merge_export",
     "merge_plan",
+    "merge_schedule",
     "move_export",
     "move_suggestions",
     "write_csv",
