@@ -244,3 +244,21 @@ def test_pipeline_stages(spark):
     assert {d for d, _ in pairs(clean)} == {r[0] for r in brute.contamination(pairs(docs), items) if not r[5]}
     ids = stages["encoding"](spark, docs, SAMPLE)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in ids.collect()) == sorted(r[:2] for r in brute.byte_bpe(pairs(docs)))
+
+
+def test_forgotten_pieces_change_nothing():
+    from tidyroll.llm.pieces import PieceIds
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices([" ab", " c", "\n", "d.", "  ", "é!?", "."], k=30)).encode() for _ in range(200)]
+
+    def encode(found):
+        ids = [[ord(c) for c in p] for p in found]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    for most in (0, 2000, 1 << 30):
+        memory = PieceIds(encode, most)
+        for k in range(0, len(texts), 7):
+            ids, counts = memory.of([*texts[k : k + 7], None, b"", b"\xff"])
+            expected = [t.decode() for t in texts[k : k + 7]] + ["", "", "�"]
+            assert counts.tolist() == [len(t) for t in expected] and "".join(map(chr, ids)) == "".join(expected)

@@ -48,7 +48,7 @@ from .worker import ENTRY_BYTES, MEMORY_BYTES, held
 #: Pieces that are joined to one string for the library of A.
 JOINED = 4096
 #: Bytes of remembered alignments, by estimate, new pieces that are aligned at once, and texts of a chunk.
-REMEMBERED, BATCH, CHUNK_BYTES = MEMORY_BYTES, 1 << 15, 2 << 20
+REMEMBERED, BATCH, CHUNK_BYTES = MEMORY_BYTES, 1 << 15, 1 << 20
 _B_MASK = (1 << 32) - 1
 
 
@@ -141,17 +141,45 @@ class Aligned:
         self.groups: list[str] = []
         self.pairs = np.zeros(0, np.int64)
         self.ends = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        """Forget the pieces that one call alone has used; all, if the others are too many as well."""
+        names, kept = list(self.known), np.flatnonzero(self.used > 1)
+        numbers, sizes = self.numbers[kept], self.ends[kept + 1] - self.ends[kept]
+        pairs = ragged(self.pairs, self.ends[kept], sizes)
+        groups, whole = [self.groups[i] for i in kept.tolist()], self.whole[kept]
+        names = [names[i] for i in kept.tolist()]
+        self._forget()
+        if self._size(names, groups, pairs) < REMEMBERED // 2:
+            self._keep(names, whole, numbers, groups, pairs, sizes)
+
+    @staticmethod
+    def _size(names: list[str], groups: list[str], pairs: np.ndarray) -> int:
+        return 2 * ENTRY_BYTES * len(names) + sum(map(len, names)) + sum(map(len, groups)) + 8 * len(pairs)
+
+    def _keep(self, names, whole, numbers, groups, pairs, sizes) -> None:
+        size = len(self.known)
+        self.known.update(zip(names, range(size, size + len(names)), strict=True))
+        self.bytes += self._size(names, groups, pairs)
+        self.whole = np.concatenate([self.whole, whole])
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.groups += groups
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int32)])
 
     def documents(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the texts' pieces, one text after another, and how many each has; a text
         without tokens has none."""
         if self.bytes > REMEMBERED:
-            self._forget()
+            self._thin()
         flat, sizes = self.sides.cut(texts)
         coded = pc.dictionary_encode(flat)
         distinct = coded.dictionary.to_pylist()
         self._learn(distinct)
         known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.used[known] += 1
         at = known[coded.indices.to_numpy()]
         text = np.repeat(np.arange(len(texts)), sizes)
         odd = np.unique(text[~self.whole[at]])
@@ -181,7 +209,6 @@ class Aligned:
 
     def _align(self, new: list[str]) -> None:
         sides, raw = self.sides, [p.encode() for p in new]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         a, n_a = sides.encode_a(new)
         b, n_b = sides.encode_b(new)
         whole = self._spell(a, n_a, sides.a_bytes, raw) & self._spell(b, n_b, sides.b_bytes, raw)
@@ -208,14 +235,8 @@ class Aligned:
         ends = np.cumsum(n_groups).tolist()
         texts = [";".join(groups[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-        size = len(self.known)
-        self.known.update(zip(new, range(size, size + len(new)), strict=True))
-        self.bytes += 2 * ENTRY_BYTES * len(new) + int(lengths.sum()) + sum(map(len, texts)) + 8 * len(pairs)
-        self.whole = np.concatenate([self.whole, whole])
-        self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, n_groups, n_links], axis=1)])
-        self.groups += texts
-        self.pairs = np.concatenate([self.pairs, pairs])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n_links)])
+        numbers = np.stack([n_a, n_b, n_groups, n_links], axis=1)
+        self._keep(new, whole, numbers, texts, pairs, n_links)
 
     @staticmethod
     def _spell(ids: np.ndarray, counts: np.ndarray, spelled: list[bytes], raw: list[bytes]) -> np.ndarray:
@@ -264,9 +285,21 @@ def groups(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry:
 
 
 RESULTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-#: pieces: the distinct pieces of each text, as numbers of the chunk; sizes: how many each text has;
-#: links, link_sizes: for each distinct piece, its pairs as numbers of the chunk; pairs, n: the pairs.
-CHUNK = "pieces array<int>, sizes array<int>, links array<int>, link_sizes array<int>, pairs array<long>, n array<long>"
+#: pieces: those of each text, as numbers of the chunk; sizes: how many each text has; links, link_sizes:
+#: for each distinct piece, its pairs as numbers of the chunk; pairs, n: the pairs, and links that have them.
+CHUNK = "pieces binary, sizes binary, links binary, link_sizes binary, pairs array<long>, n array<long>"
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up, as bytes of the narrowest width, compressed."""
+    width = np.min_scalar_type(int(numbers.max(initial=0)))
+    raw = numbers.astype(width.newbyteorder("<")).tobytes()
+    return bytes([width.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{data[0]}").astype(np.int64)
 
 
 def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -315,15 +348,12 @@ def _chunk(aligned: Aligned, chunk: int, rows: pa.Array, texts: list[bytes | Non
     pairs, links = np.unique(codes, return_inverse=True)
     n = np.bincount(links, np.repeat(often, link_sizes), len(pairs)).astype(np.int64)
 
-    def one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(kind.to_pandas_dtype()), kind))
-
     arrays = [
         pa.array([chunk], pa.int64()),
         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), results),
-        *(one(x, pa.int32()) for x in (inverse, counts, links, link_sizes)),
-        *(one(x, pa.int64()) for x in (pairs, n)),
+        *(pa.array([packed(x)], pa.binary()) for x in (inverse, counts, links, link_sizes)),
+        *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (pairs, n)),
     ]
     return pa.RecordBatch.from_arrays(arrays, names=["chunk", "rows", "results", "pieces", "sizes", "links", "link_sizes", "pairs", "n"])
 
@@ -369,7 +399,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry:
                     amounts[at, 0] = told.field("best").to_numpy(zero_copy_only=False)
                     amounts[at, 1] = told.field("count").to_numpy()
                 pieces, sizes, links, link_sizes = (
-                    one[c].values.to_numpy().astype(np.int64) for c in ("pieces", "sizes", "links", "link_sizes")
+                    unpacked(one[c].as_py()) for c in ("pieces", "sizes", "links", "link_sizes")
                 )
                 by_piece = _by_text(amounts[links], link_sizes)
                 sums = _by_text(by_piece[pieces], sizes)

@@ -117,14 +117,32 @@ class PieceIds:
         self.bytes = 0
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        """Forget the pieces that one call alone has used; all, if the others are too many as well."""
+        names, kept = list(self.known), np.flatnonzero(self.used > 1)
+        names = [names[i] for i in kept.tolist()]
+        lengths = self.starts[kept + 1] - self.starts[kept]
+        ids = ragged(self.ids, self.starts[kept], lengths)
+        self._forget()
+        if self._size(names, ids) < self.most // 2:
+            self._keep(names, ids, lengths)
+
+    @staticmethod
+    def _size(names: list[str], ids: np.ndarray) -> int:
+        return ENTRY_BYTES * len(names) + sum(map(len, names)) + 4 * len(ids)
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of UTF-8 texts, one text after another, and how many each has."""
+        if self.bytes > self.most:
+            self._thin()
         flat, sizes = cut(texts)
         coded = pc.dictionary_encode(flat)
         distinct = coded.dictionary.to_pylist()
         self._learn(distinct)
         known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.used[known] += 1
         at = known[coded.indices.to_numpy()]
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
@@ -132,8 +150,6 @@ class PieceIds:
         return ragged(self.ids, self.starts[at], lengths), ends[last] - ends[last - sizes]
 
     def _learn(self, distinct: list[str]) -> None:
-        if self.bytes > self.most:
-            self._forget()
         known = self.known
         new = [p for p in distinct if p not in known]
         # marks at the end of a word are pre-tokens of their own, so the word is encoded without them
@@ -157,9 +173,10 @@ class PieceIds:
     def _keep(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         size = len(self.known)
         self.known.update(zip(new, range(size, size + len(new)), strict=True))
-        self.bytes += ENTRY_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
+        self.bytes += self._size(new, ids)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
