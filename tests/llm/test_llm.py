@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from tidyroll.llm import components, decontamination, hot, quality, simhash, suffix_dedup, token_store, topk, window_dedup
+from tidyroll.llm import decontamination, quality, simhash, suffix_dedup, token_store, topk, window_dedup
 from tidyroll.llm import queries as Q
 from tidyroll.llm.pieces import pieces
+from tidyroll.operators import components, hot
 
 from . import brute
 

@@ -7,8 +7,9 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
-from tidyroll.llm import hot, merkle, numbering, sharding
+from tidyroll.llm import merkle, sharding
 from tidyroll.llm import queries as Q
+from tidyroll.operators import hot, numbering
 
 from . import brute
 

@@ -28,10 +28,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidyroll.operators.hot import counted_join
+from tidyroll.operators.numbering import numbered
 from tidyroll.operators.staging import release, stage
 
-from .hot import counted_join
-from .numbering import numbered
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 WIDTH = 16

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyroll.operators.hot import counted_join
+from tidyroll.operators.numbering import numbered
 from tidyroll.operators.staging import stage
 
-from .hot import counted_join
-from .numbering import numbered
 
 SHARDS = 16
 #: A run of more groups than this isn't walked through.

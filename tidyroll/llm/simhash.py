@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidyroll.operators.components import components
+from tidyroll.operators.hot import counted_join
 from tidyroll.operators.staging import release, stage
 
-from .components import components
-from .hot import counted_join
 from .texts import per_text
 
 BITS, SEED = 64, 42

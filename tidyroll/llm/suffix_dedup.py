@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidyroll.operators.hot import counted_join
 from tidyroll.operators.staging import release, stage
 
-from .hot import counted_join
 from .texts import chunks
 from .window_dedup import PLACE_BITS, leftmost_least
 

@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyroll.operators.hot import counted_join
 from tidyroll.operators.staging import release, stage
 
-from .hot import counted_join
 from .texts import chunks
 
 #: Words of a window and of the runs among which its minimiser is.
