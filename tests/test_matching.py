@@ -9,6 +9,8 @@ import pytest
 
 from tidyroll import MatchParams, move_export, move_suggestions
 from tidyroll.operators import candidates as cand
+from tidyroll.operators import domains as domain_module
+from tidyroll.operators import skew
 from tidyroll.operators.domains import domain_counts
 
 from .conftest import rows_of
@@ -299,3 +301,26 @@ def test_candidate_pairs(views):
 
 def test_no_parked_contacts(views):
     assert move_suggestions(views, replace(PARAMS, catch_all_company=5)).count() == 0
+
+
+@pytest.mark.parametrize("way", ["broadcast", "shuffle", "split"])
+def test_long_lists_are_tables(spark, monkeypatch, way):
+    """100,000 domains give the same flags as literals, without their literals in the plan."""
+    names = [f"d{i}.example" for i in range(100_000)]
+    long = MatchParams(0, 1, own_domains=("d5.example",), vendor_domains=tuple(names), public_domains=tuple(names[:2000]))
+    domains = [None, "", "d5.example", "d1999.example", "d2000.example", "D7.example", "other.example"]
+    rows = [(i, d) for i, d in enumerate([*domains, *["d99999.example"] * 400])]
+    df = spark.createDataFrame(rows, "id long, EmailDomain string")
+    if way != "broadcast":
+        monkeypatch.setattr(domain_module, "BROADCAST_BYTES", 1000)
+    if way == "split":
+        monkeypatch.setattr(skew, "MIN_ROWS", 50)
+    found = domain_module.classify_domains(df, long, spread="id" if way == "split" else None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "d54321.example" not in plan and len(plan) < 20_000 and ("explode" in plan) == (way == "split")
+    flags = {r["id"]: tuple(r)[2:] for r in found.collect()}
+    assert found.columns == ["id", "EmailDomain", "IsOwnCompanyDomain", "IsDoNotMoveDomain", "IsPublicDomain", "IsVendorDomain"]
+    sets = [{"d5.example"}, set(), set(names[:2000]), set(names)]
+    assert flags == {i: tuple(int(d in s) for s in sets) for i, d in rows}
+    short = MatchParams(0, 1, own_domains=("d5.example",), vendor_domains=tuple(names[:50]))
+    assert domain_module.classify_domains(df, short).where("IsVendorDomain = 1").count() == 1

@@ -1,14 +1,16 @@
 """Intermediate tables that outlive the executors, and their end.
 
 A staged table lies in the folder that the cluster names in `spark.checkpoint.dir`; where
-that is unset, in a folder of the session's warehouse, which a cluster shares as well. No
-machine-local folder is ever used. `release` deletes what a session has staged.
+that is unset, in a folder of the session's warehouse. A warehouse on local disks is refused unless
+the session is a single process, as executors elsewhere would not see its files. `release` deletes
+what a session has staged; `settled` keeps the result of a step and deletes what led to it.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +21,21 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _staged: dict[str, list[tuple[str, DataFrame | None]]] = {}
 
 
+#: Masters whose tasks all run in the driver's process.
+_ONE_PROCESS = re.compile(r"local(\[[^\]]*\])?$")
+#: Paths without a scheme or with that of local files.
+_LOCAL_PATH = re.compile(r"(file:|[^:]*$)")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables; reading it changes no setting of the session."""
     folder = spark.conf.get(SETTING, None)
-    if not folder:
-        folder = spark.conf.get(WAREHOUSE).rstrip("/") + "/_staged"
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    folder = spark.conf.get(WAREHOUSE)
+    if _LOCAL_PATH.match(folder) and not _ONE_PROCESS.match(spark.conf.get("spark.master", "")):
+        raise ValueError(f"set {SETTING} to a folder that all executors share; the warehouse {folder} is local")
+    return folder.rstrip("/") + "/_staged"
 
 
 def _of_session(spark: SparkSession) -> list[tuple[str, DataFrame | None]]:
@@ -87,6 +98,20 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     _staged[spark.sparkContext.applicationId] = kept
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, *read: DataFrame) -> DataFrame:
+    """The result of `make`, staged, with everything deleted that was staged on the way to it, and
+    the staged tables `read` that nothing needs from here on."""
+    before = len(_of_session(spark))
+    result = stage(make(), name)
+    staged = _of_session(spark)
+    for path, _ in staged[before:-1]:
+        _delete(spark, path)
+    _staged[spark.sparkContext.applicationId] = [*staged[:before], staged[-1]]
+    if read:
+        release(spark, *read)
+    return result
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end whatever was staged inside."""

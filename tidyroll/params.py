@@ -89,9 +89,8 @@ class ScoringParams:
 class MatchParams:
     """Company ids and domain lists of the catch-all matching report.
 
-    The lists are part of the plan as literals, so they are meant for hundreds of entries,
-    and they are compared with lower-cased domains, so their entries are trimmed and put in
-    lower case here. With `literal_old` the underscore in the
+    The lists may have any length: short ones are literals of the plan, long ones a table. They
+    are compared with lower-cased domains, so their entries are trimmed and put in lower case here. With `literal_old` the underscore in the
     `_old` marker stands for itself; by default it stands for any one character, as it does
     in SQL LIKE.
     """

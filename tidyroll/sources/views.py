@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import even_ranges
+
 ANY = None
 
 # Name of each view at the source, and its columns. A type is given where the
@@ -87,10 +89,17 @@ SPLIT_COLUMN = {
     "address": "Company_Address_RecID",
 }
 
+# The date by which a busy company's rows are cut, where the split column isn't a key.
+DAY_COLUMN = {"invoices": "Date_Invoice", "agreements": "DateEnd"}
+
 
 @dataclass(frozen=True)
 class JdbcSource:
-    """A database that serves the views. Each view is read in `partitions` ranges of an id."""
+    """A database that serves the views. Each view is read in `partitions` ranges of an id.
+
+    Views whose id is a key are read in equal steps. Invoices and agreements, of which one company
+    may have most, are counted first, and read in ranges with about equal numbers of rows.
+    """
 
     url: str
     schema: str = "dbo"
@@ -113,6 +122,17 @@ def _conform(df: DataFrame, view: str) -> DataFrame:
 def _read_jdbc(spark: SparkSession, source: JdbcSource, view: str) -> DataFrame:
     table, split = f"{source.schema}.{VIEWS[view][0]}", SPLIT_COLUMN[view]
     options = {"url": source.url, "fetchsize": str(source.fetch_size), **source.properties}
+    if view in DAY_COLUMN:
+
+        def query(text: str) -> list[tuple]:
+            found = spark.read.format("jdbc").options(**options).option("query", text).load()
+            return [tuple(row) for row in found.collect()]
+
+        parts = even_ranges(query, table, split, DAY_COLUMN[view], source.partitions)
+        properties = {"fetchsize": str(source.fetch_size), **source.properties}
+        return spark.read.jdbc(
+            source.url, table, predicates=parts or [f"{split} is null"], properties=properties
+        )
     reader = spark.read.format("jdbc").options(**options)
     low, high = reader.option(
         "query", f"select min({split}) as low, max({split}) as high from {table}"
