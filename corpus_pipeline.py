@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyroll.llm import byte_bpe, decontamination, quality, simhash, suffix_dedup
 from tidyroll.llm.texts import carried
-from tidyroll.operators.staging import stage
+from tidyroll.operators.staging import settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +63,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder, each written as Parquet and read again.
+
+    A stage's input and what it staged itself are deleted when its result is written.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, partial(step, spark, docs, sf_dir), f"pipeline-{name}", *read)
+        read = [docs]
     return docs
