@@ -504,6 +504,10 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "match_summary": (("counted",), "from counted"),
     "single_match": (("lone",), "from lone"),
     "candidate_arrays": (("lists",), "from lists"),
+    "candidate_companies": (
+        ("pairs",),
+        "select distinct Contact_RecID, CandidateCompanyRecID from pairs",
+    ),
     "vendor_domain_counts": (("vendor_use",), "from vendor_use"),
     "move_suggestions": (("moves",), "from moves"),
     "export_moves": (("ready",), "from ready"),

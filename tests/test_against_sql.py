@@ -25,6 +25,8 @@ REPORTS = (
     "candidates",
     "match_summary",
     "single_match",
+    "candidate_arrays",
+    "candidate_companies",
     "move_suggestions",
     "export_moves",
 )

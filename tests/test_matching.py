@@ -6,6 +6,7 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidyroll import MatchParams, move_export, move_suggestions
 from tidyroll.operators import candidates as cand
@@ -324,3 +325,27 @@ def test_long_lists_are_tables(spark, monkeypatch, way):
     assert flags == {i: tuple(int(d in s) for s in sets) for i, d in rows}
     short = MatchParams(0, 1, own_domains=("d5.example",), vendor_domains=tuple(names[:50]))
     assert domain_module.classify_domains(df, short).where("IsVendorDomain = 1").count() == 1
+
+
+def test_long_lists_of_companies_are_put_together_from_chunks(spark, views, monkeypatch):
+    """Every list of more than two ids is joined from chunks; the cells stay the same."""
+    matches = cand.contact_matches(views, PARAMS)
+    arrays = sorted(map(tuple, cand.candidate_arrays(matches).collect()))
+    report = sorted(map(str, move_suggestions(views, PARAMS, ordered=False).collect()))
+    rows = sorted(map(tuple, cand.candidate_companies(matches).collect()))
+    listed = [(c, int(i)) for c, cell in arrays for i in cell.strip("[]").split(",")]
+    assert rows == sorted(listed) and max(cell.count(",") for _, cell in arrays) >= 2
+    monkeypatch.setattr(cand, "IDS", 1)
+    long = cand.contact_matches(views, PARAMS)
+    assert long.finds.where("ids is not null").isEmpty()
+    assert sorted(map(tuple, cand.candidate_arrays(long).collect())) == arrays
+    assert sorted(map(str, move_suggestions(views, PARAMS, ordered=False).collect())) == report
+
+
+def test_a_list_of_a_million_ids(spark, monkeypatch):
+    """No array has more than IDS ids on the way."""
+    n = 1_000_000
+    members = spark.range(n).select((F.col("id") % 3 == 0).alias("k"), (F.col("id") * 7).alias("id"))
+    found = dict(cand.id_lists(members.repartition(8), ["k"], n).collect())
+    for key, ids in ((True, range(0, n, 3)), (False, (i for i in range(n) if i % 3))):
+        assert found[key] == "[" + ",".join(str(7 * i) for i in ids) + "]"
