@@ -37,7 +37,7 @@ class Words(dict):
         if self.bytes > self.most:
             self.clear()
             self.bytes = 0
-        new = list(wanted.difference(self))
+        new = [w for w in wanted if w not in self]
         if new:
             self.update(zip(new, self.make(new), strict=True))
             self.bytes += ENTRY_BYTES * len(new) + sum(map(len, new))
