@@ -1,7 +1,11 @@
-"""Session settings that the reports count on."""
+"""Session settings that the reports count on, and the library for Python workers."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution is on by default; it is named here because the plain joins leave hot keys
@@ -19,3 +23,25 @@ def with_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
     return builder
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the library to the session's Python workers, wherever the driver was started.
+
+    Needed where executors don't have the library installed. Spark copies the archive to each
+    executor itself; a session gets it once.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    # the driver's own copy, which Spark's file server hands out
+    archive = Path(tempfile.mkdtemp(prefix="tidyroll-")) / "tidyroll.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
