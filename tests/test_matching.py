@@ -12,6 +12,7 @@ from tidyroll import MatchParams, move_export, move_suggestions
 from tidyroll.operators import candidates as cand
 from tidyroll.operators import domains as domain_module
 from tidyroll.operators import skew
+from tidyroll.operators.addresses import address_choice
 from tidyroll.operators.domains import domain_counts
 
 from .conftest import rows_of
@@ -349,3 +350,16 @@ def test_a_list_of_a_million_ids(spark, monkeypatch):
     found = dict(cand.id_lists(members.repartition(8), ["k"], n).collect())
     for key, ids in ((True, range(0, n, 3)), (False, (i for i in range(n) if i % 3))):
         assert found[key] == "[" + ",".join(str(7 * i) for i in ids) + "]"
+
+
+def test_addresses_are_chosen_without_sorting_them(make_views):
+    """The default, else an active one, else the lowest id, by a hash aggregate and one lookup."""
+    sites = [(1, 5, 0, 0), (1, 6, 1, 1), (1, 7, 1, 0), (2, 9, 0, 1), (2, 8, 0, 1), (3, 4, None, None), (3, 3, 0, 0), (None, 2, 1, 0)]
+    names = ("Company_RecID", "Company_Address_RecID", "Default_Flag", "Inactive_Flag")
+    views = make_views(address=[dict(zip(names, s, strict=True), Site_Name=f"site {s[1]}") for s in sites])
+    chosen = address_choice(views)
+    rows = {r["Company_RecID"]: r for r in chosen.collect()}
+    assert {c: r["Company_Address_RecID"] for c, r in rows.items()} == {1: 7, 2: 8, 3: 3, None: 2}
+    assert all(r["Site_Name"] == f"site {r['Company_Address_RecID']}" for r in rows.values())
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
