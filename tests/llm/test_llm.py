@@ -263,3 +263,40 @@ def test_forgotten_pieces_change_nothing():
             ids, counts = memory.of([*texts[k : k + 7], None, b"", b"\xff"])
             expected = [t.decode() for t in texts[k : k + 7]] + ["", "", "�"]
             assert counts.tolist() == [len(t) for t in expected] and "".join(map(chr, ids)) == "".join(expected)
+
+
+def _clusters(rng, clusters, each, dim):
+    centres = rng.normal(size=(clusters, dim)) * 4
+    return [(i, (centres[i % clusters] + rng.normal(size=dim) * 0.05).tolist()) for i in range(clusters * each)]
+
+
+def test_shards_that_allow_too_little_are_not_visited(spark, monkeypatch):
+    """Of 32 regions a query of a cluster visits few; the result is that of all pairs."""
+    rows_of = _clusters(np.random.default_rng(4), 32, 50, 6)
+    seen = []
+    monkeypatch.setattr(topk, "_visit", lambda trees, wanted, *a, f=topk._visit: (seen.append(wanted), f(trees, wanted, *a))[1])
+    frame = spark.createDataFrame(rows_of, "vec_id long, embedding array<double>")
+    assert rows(topk.top_k(frame, every=10, shard=50)) == sorted(brute.top_k(rows_of, every=10), key=repr)
+    home, others = (w.select("vec_id", "shard").distinct().count() for w in seen)
+    assert home == 160 and 0 < others < 160 * 31 / 4
+
+
+def test_one_vector_of_many_ids_is_dealt_to_shards(spark):
+    same = [(i, [1.0, 2.0, 3.0]) for i in range(0, 900, 3)]
+    rows_of = same + [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(900) if i % 3] + [(50, [1.0]), (51, [2.0]), (100, [3.0]), (150, [])]
+    frame = spark.createDataFrame(rows_of, "vec_id long, embedding array<double>")
+    regions = topk.fit_regions(frame.selectExpr("vec_id", "transform(embedding, x -> cast(x as long)) as vector"), 20)
+    assert set(regions) == {0, 1, 3}
+    for monkey in (40, 10_000):
+        assert rows(topk.top_k(frame, shard=monkey)) == sorted(brute.top_k(rows_of), key=repr)
+    dealt = topk.deal(frame.selectExpr("vec_id", "transform(embedding, x -> cast(x as long)) as vector"), regions, 40)
+    sizes = [r["count"] for r in dealt.groupBy("dim", "shard").count().collect()]
+    assert sum(sizes) == len(rows_of) and max(sizes) < 150
+
+
+def test_boxes_in_blocks_and_slices_change_nothing(spark, hard, monkeypatch):
+    folder, _, _, vectors = hard
+    frame = spark.read.parquet(f"{folder}/embeddings.parquet")
+    monkeypatch.setattr(topk, "SLICE", 1)
+    monkeypatch.setattr(topk, "box_blocks", lambda trees, f=topk.box_blocks: f(trees, 500))
+    assert rows(topk.top_k(frame, shard=20)) == sorted(brute.top_k(vectors), key=repr)

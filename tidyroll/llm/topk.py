@@ -1,11 +1,16 @@
 """Exact top-k search by inner product with a KD-tree in each shard.
 
-Vectors are dealt to shards by a hash of their id and components. A shard's tree splits at the
-median of the dimension with the largest spread, and each node has a tight box and its smallest
-id. A search goes through a tree best node first, by the largest inner product that the node's
-box allows; it ends when that bound can't beat the kth score that it has. Queries travel in
-blocks: each block first visits one shard, and the kth scores from there bound the search in
-all other shards.
+Shards are regions: a bounded sample of the vectors is split at medians into as many parts as there
+shall be shards, and every vector goes to the part that it lies in. A part that holds far more than its
+share (equal vectors with many ids do) is dealt to several shards. A shard's tree splits at the median
+of the dimension with the largest spread, and each node has a tight box and its smallest id. A search
+goes through a tree best node first, by the largest inner product that the node's box allows; it ends
+when that bound can't beat the kth score that it has.
+
+Each query first visits the shard whose box allows it most. The kth score from there is carried to the
+other shards: only those whose box allows as much are visited at all, and there it bounds the search.
+A shard's tree is sent and loaded once for all queries that visit it (once for each SLICE of queries,
+where there are more); queries stream past it one batch at a time.
 
 Vectors that are null or have null or non-finite components, and rows without an id, take no
 part. Scores are those of vectors of one length only. Ties go to the smaller id. Rows with the
@@ -26,10 +31,13 @@ from pyspark.sql import functions as F
 
 from tidyroll.operators.staging import stage
 
-#: Vectors in a shard, in a leaf, and queries in a block, about.
-SHARD, LEAF, BLOCK = 16384, 64, 512
+#: Vectors in a shard, in a leaf, and queries that one copy of a tree serves, about.
+SHARD, LEAF, SLICE = 16384, 64, 32768
+#: Vectors that the regions are fitted on, and bytes of boxes that are broadcast at once.
+SAMPLE, BOX_BYTES = 65536, 32 << 20
 EXACT = 2.0**52
 RESULT = "query_id long, query_key string, vec_id long, score long"
+QUERY = "vec_id long, vector array<long>, key string, kth long"
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -129,53 +137,211 @@ def _stack(lists: list[list[int]]) -> np.ndarray:
     return np.array(lists, np.int64).reshape(len(lists), len(lists[0]) if lists else 0)
 
 
-def build(vectors: DataFrame, shards: int) -> DataFrame:
-    """One tree for each shard and length of distinct rows (vec_id, vector): dim, shard, tree."""
+class Regions:
+    """Parts of the space of vectors of one length: median splits of a sample."""
+
+    def __init__(self, sample: np.ndarray, parts: int):
+        self.dims, self.cuts, self.children = [], [], []
+        todo = [(sample, parts)]
+        self.parts: list[int] = []
+        at = 0
+        while at < len(todo):
+            rows, wanted = todo[at]
+            spread = rows.max(axis=0) - rows.min(axis=0) if rows.size else np.zeros(1, np.int64)
+            wide = int(spread.argmax())
+            if wanted > 1 and spread[wide]:
+                # rows equal to the median all go right, so that equal vectors stay together
+                cut = int(np.sort(rows[:, wide])[len(rows) // 2])
+                cut += int(cut == rows[:, wide].min())
+                left = rows[:, wide] < cut
+                self.children.append(len(todo))
+                todo += [(rows[left], wanted // 2), (rows[~left], wanted - wanted // 2)]
+                self.dims.append(wide)
+                self.cuts.append(cut)
+            else:
+                self.children.append(-1)
+                self.dims.append(0)
+                self.cuts.append(0)
+            at += 1
+        todo.clear()
+        leaves = [i for i, c in enumerate(self.children) if c < 0]
+        number = {node: k for k, node in enumerate(leaves)}
+        self.number = np.array([number.get(i, -1) for i in range(len(self.children))])
+        self.dims, self.cuts, self.children = map(np.array, (self.dims, self.cuts, self.children))
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The part that each vector lies in."""
+        at = np.zeros(len(vectors), np.int64)
+        todo = np.flatnonzero(self.children[at] >= 0)
+        while len(todo):
+            node = at[todo]
+            right = vectors[todo, self.dims[node]] >= self.cuts[node]
+            at[todo] = self.children[node] + right
+            todo = todo[self.children[at[todo]] >= 0]
+        return self.number[at]
+
+
+def fit_regions(rows: DataFrame, shards: int, sample: int = SAMPLE) -> dict[int, Regions]:
+    """Regions for each length, from no more than `sample` vectors: those of the least hash."""
+    if shards < 2:
+        return {}
+    some = rows.select("vector").orderBy(F.xxhash64("vec_id", "vector")).limit(sample).toArrow()
+    by_length: dict[int, list[list[int]]] = {}
+    for vector in some.column("vector").to_pylist():
+        by_length.setdefault(len(vector), []).append(vector)
+    total = sum(map(len, by_length.values()))
+    return {n: Regions(_stack(v), max(1, shards * len(v) // total)) for n, v in by_length.items()}
+
+
+def deal(rows: DataFrame, regions: dict[int, Regions], shard: int) -> DataFrame:
+    """Rows with dim and shard: a region, or a part of one that holds over twice `shard` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            dims = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy()
+            parts = np.zeros(len(dims), np.int64)
+            ends = np.cumsum(dims)
+            for n in np.unique(dims):
+                if n and int(n) in regions:
+                    mine = np.flatnonzero(dims == n)
+                    places = (ends[mine] - n)[:, None] + np.arange(n)
+                    parts[mine] = regions[int(n)].of(flat[places])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(dims, pa.int32()), pa.array(parts, pa.int32())], names=["vec_id", "vector", "dim", "part"]
+            )
+
+    placed = rows.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<long>, dim int, part int")
+    placed = stage(placed, "regions")
+    sizes = placed.groupBy("dim", "part").count()
+    first, pieces = 0, []
+    for dim, part, n in sorted(map(tuple, sizes.collect())):  # a row for each region
+        pieces.append((dim, part, first, max(1, n // shard)))
+        first += pieces[-1][-1]
+    known = F.broadcast(rows.sparkSession.createDataFrame(pieces, "dim int, part int, first int, pieces int"))
+    own = F.pmod(F.xxhash64("vec_id", "vector"), F.col("pieces")).cast("int")
+    return placed.join(known, ["dim", "part"]).select("dim", (F.col("first") + own).alias("shard"), "vec_id", "vector")
+
+
+def build(dealt: DataFrame) -> DataFrame:
+    """One tree for each shard: dim, shard, tree, and the box around it (low, high)."""
 
     def run(key, table):
         ids = table.column("vec_id").to_numpy()
         tree = Tree(ids, _stack(table.column("vector").to_pylist()))
         return pa.table(
             {"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
-             "tree": pa.array([pickle.dumps(tree)], pa.binary())}
+             "tree": pa.array([pickle.dumps(tree)], pa.binary()),
+             "low": pa.array([tree.lows[0]], pa.list_(pa.int64())), "high": pa.array([tree.highs[0]], pa.list_(pa.int64()))}
         )
 
-    dealt = vectors.select(
-        F.size("vector").alias("dim"),
-        F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int").alias("shard"),
-        "vec_id",
-        "vector",
-    )
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, tree binary")
+    schema = "dim int, shard int, tree binary, low array<long>, high array<long>"
+    return dealt.groupBy("dim", "shard").applyInArrow(run, schema)
 
 
-def _blocks(queries: DataFrame, blocks: int) -> DataFrame:
-    """Queries gathered in blocks of about BLOCK: dim, block, names, vectors, kth."""
-    return (
-        queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int"))
-        .groupBy(F.size("vector").alias("dim"), "block")
-        .agg(F.collect_list(F.struct("vec_id", "vector", "key", "kth")).alias("queries"))
-    )
+class Boxes:
+    """Boxes of the shards of one length, and the largest score that each allows a query."""
+
+    def __init__(self, shards: list[int], lows: list[list[int]], highs: list[list[int]]):
+        self.shards = np.array(shards, np.int32)
+        self.lows, self.highs = _stack(lows).astype(np.float64), _stack(highs).astype(np.float64)
 
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """No less than any score: a little more than what floats give."""
+        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+        out = up @ self.highs.T + down @ self.lows.T
+        return out + np.abs(up @ np.abs(self.highs).T - down @ np.abs(self.lows).T) * 1e-9 + 1
 
-def _visit(cells: DataFrame, k: int) -> DataFrame:
-    """Searches the tree of each row for the block of queries of the row."""
+
+def box_blocks(trees: DataFrame, most: int = BOX_BYTES) -> Iterator[dict[int, Boxes]]:
+    """The boxes of all shards by length, in blocks of a bounded size."""
+    boxes = trees.select("dim", "shard", "low", "high")
+    size = boxes.agg(F.sum(F.col("dim") * 16 + 64)).first()[0] or 0
+    blocks = 1 + size // most
+    for block in range(blocks):
+        found: dict[int, tuple[list, list, list]] = {}
+        for row in boxes.where(F.col("shard") % blocks == block).collect():
+            shards, lows, highs = found.setdefault(row["dim"], ([], [], []))
+            shards.append(row["shard"])
+            lows.append(row["low"])
+            highs.append(row["high"])
+        yield {dim: Boxes(*lists) for dim, lists in found.items()}
+
+
+def _queries(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows of a batch by length of vector: length, their numbers, vectors."""
+    lists = batch.column("vector")
+    dims = np.diff(lists.offsets.to_numpy())
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(dims)
+    for n in np.unique(dims):
+        mine = np.flatnonzero(dims == n)
+        yield int(n), mine, flat[(ends[mine] - n)[:, None] + np.arange(n)]
+
+
+def visits(queries: DataFrame, boxes: dict[int, Boxes], home: bool) -> DataFrame:
+    """A row for each query and shard to visit: shard, bound, and the columns of QUERY.
+
+    With `home` that is the one shard whose box allows the query most, else all whose box allows the
+    kth score that it has.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(boxes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tree, queries in zip(batch.column(0), batch.column(1), strict=True):
-                tree, queries = pickle.loads(tree.as_py()), queries.as_py()
-                names = np.array([q["vec_id"] for q in queries], np.int64)
-                vectors = _stack([q["vector"] for q in queries])
-                kth = np.array([q["kth"] for q in queries], np.int64)
-                q, ids, scores = tree.search(names, vectors, k, kth)
-                keys = [queries[i]["key"] for i in q]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[q]), pa.array(keys, pa.string()), pa.array(ids), pa.array(scores)],
-                    names=["query_id", "query_key", "vec_id", "score"],
-                )
+            for n, mine, vectors in _queries(batch):
+                if n not in shared.value:
+                    continue
+                known = shared.value[n]
+                bounds = known.bounds(vectors)
+                if home:
+                    rows, at = np.arange(len(mine)), bounds.argmax(axis=1)
+                else:
+                    kth = batch.column("kth").take(pa.array(mine)).to_numpy()
+                    rows, at = np.nonzero(bounds >= kth[:, None])
+                for start in range(0, len(rows), 4096):
+                    some = slice(start, start + 4096)
+                    part = batch.take(pa.array(mine[rows[some]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(known.shards[at[some]]), pa.array(bounds[rows[some], at[some]]), *part.columns],
+                        names=["shard", "bound", *part.schema.names],
+                    )
+
+    names = ["vec_id", "vector", "key", "kth"]
+    return queries.select(*names).mapInArrow(run, f"shard int, bound double, {QUERY}")
 
-    return cells.select("tree", "queries").mapInArrow(run, RESULT)
+
+def _visit(trees: DataFrame, wanted: DataFrame, slices: int, k: int) -> DataFrame:
+    """Searches the tree of each shard for the queries that visit it."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("vec_id", "long"), ("vector", "array<long>"), ("key", "string"), ("kth", "long"))]
+    copies = trees.join(wanted.select("shard").distinct(), "shard", "left_semi").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "tree", *none
+    )
+    mine = F.pmod(F.xxhash64("vec_id", "key"), F.lit(slices)).cast("int").alias("slice")
+    asked = wanted.select("shard", mine, F.lit(None).cast("binary").alias("tree"), "vec_id", "vector", "key", "kth")
+    both = copies.unionByName(asked).repartition("shard", "slice")
+    both = both.sortWithinPartitions("shard", "slice", F.col("tree").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            held = np.flatnonzero(batch.column("tree").is_valid().to_numpy(zero_copy_only=False))
+            edges = [0, *held.tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start < end and batch.column("tree")[start].is_valid:
+                    tree = pickle.loads(batch.column("tree")[start].as_py())
+                    start += 1
+                if start < end:
+                    part = batch.slice(start, end - start)
+                    names = part.column("vec_id").to_numpy()
+                    vectors = _stack(part.column("vector").to_pylist())
+                    q, ids, scores = tree.search(names, vectors, k, part.column("kth").to_numpy())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[q]), part.column("key").take(pa.array(q)), pa.array(ids), pa.array(scores)],
+                        names=["query_id", "query_key", "vec_id", "score"],
+                    )
+
+    return both.select("tree", "vec_id", "vector", "key", "kth").mapInArrow(run, RESULT)
 
 
 def top_k(
@@ -192,33 +358,34 @@ def top_k(
     rows = vectors.select(
         F.col(f"`{vec_id}`").cast("long").alias("vec_id"), quantised(F.col(f"`{vector}`"), scale).alias("vector")
     ).where("vec_id is not null and vector is not null")
-    # equal rows are one before they are dealt, so that they don't all meet in one shard
     rows = stage(rows.distinct(), "vectors")
-    key = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("key", key)
-    n, m = rows.count(), asked.count()
-    shards, blocks = 1 + n // shard, 1 + m // BLOCK
-    trees = stage(build(rows, shards), "trees")
+    n = rows.count()
+    trees = stage(build(deal(rows, fit_regions(rows, 1 + n // shard), shard)), "trees")
 
-    # first each block in one shard, for kth scores that hold everywhere
     least = F.lit(-(2**63)).cast("long")
-    home = _blocks(asked.withColumn("kth", least), blocks).withColumn(
-        "shard", F.pmod("block", F.lit(shards)).cast("int")
-    )
-    first = stage(_visit(trees.join(home, ["dim", "shard"]), k), "first")
+    key = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("key", key)
+    slices = 1 + asked.count() // SLICE
+    blocks = list(box_blocks(trees))
+    # first each query in the shard that allows it most, for a kth score that holds everywhere
+    home = None
+    for boxes in blocks:
+        part = visits(asked.withColumn("kth", least), boxes, home=True)
+        home = part if home is None else home.unionByName(part)
+    if len(blocks) > 1:
+        best = F.max_by("shard", "bound").alias("shard")
+        home = home.join(home.groupBy("vec_id", "key").agg(best), ["vec_id", "key", "shard"], "left_semi")
+    home = stage(home, "home")
+    first = stage(_visit(trees, home, slices, k), "first")
     counted = first.groupBy("query_id", "query_key").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-    known = asked.withColumnsRenamed({"vec_id": "query_id", "key": "query_key"})
-    bounded = known.join(counted.where(F.col("n") >= k), ["query_id", "query_key"], "left").select(
-        F.col("query_id").alias("vec_id"), "vector", F.col("query_key").alias("key"), F.coalesce("kth", least).alias("kth")
-    )
-    # then every block in all others; each meets each shard once
-    others = (
-        _blocks(bounded, blocks)
-        .withColumn("home", F.pmod("block", F.lit(shards)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .where("shard <> home")
-    )
-    found = first.unionByName(_visit(trees.join(others, ["dim", "shard"]), k))
+    counted = counted.where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "kth")
+    bounded = stage(asked.join(counted, ["vec_id", "key"], "left").withColumn("kth", F.coalesce("kth", least)), "bounded")
+    # then in all others that may have as good a one
+    been = home.select("vec_id", "key", "shard")
+    found = first
+    for boxes in blocks:
+        others = visits(bounded, boxes, home=False).join(been, ["vec_id", "key", "shard"], "left_anti")
+        found = found.unionByName(_visit(trees, stage(others, "others"), slices, k))
     # at most k rows of each shard for a query
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
