@@ -216,3 +216,29 @@ def test_the_pipeline_on_hard_tables(spark, tmp_path):
         assert step(spark, docs, folder).columns == docs.columns, name
     found = corpus_pipeline.run(spark, folder)
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in found.collect()), key=repr) == _brute_chain(spark, folder)
+
+
+def test_a_pipeline_that_was_broken_off_goes_on(spark, tmp_path, monkeypatch):
+    """Stages that were written aren't run again; one that broke off while writing is."""
+    calls = []
+
+    def stage(name, fail=False):
+        def step(spark, docs, folder):
+            calls.append(name)
+            if fail:
+                raise RuntimeError("lost")
+            return docs.withColumn(name, docs["doc_id"])
+
+        return name, step
+
+    folder = str(tmp_path / "kept")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b", fail=True), stage("c")])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, SAMPLE, folder)
+    (tmp_path / "kept" / "1-b").mkdir()  # files of a write that didn't end
+    (tmp_path / "kept" / "1-b" / "part-0.parquet").write_bytes(b"half")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    for _ in range(2):
+        found = corpus_pipeline.run(spark, SAMPLE, folder)
+        assert found.count() == 200 and {"a", "b", "c"} <= set(found.columns)
+    assert calls == ["a", "b", "b", "c"]

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 
 from tidyroll.operators.staging import stage
 
-from .pieces import Together, cut, ragged
+from .pieces import MARKS, WORD_END, Together, cut, ragged
 from .texts import chunks, per_text
 from .token_counts import _byte_letters
 from .worker import ENTRY_BYTES, MEMORY_BYTES, held
@@ -50,6 +51,7 @@ JOINED = 4096
 #: Bytes of remembered alignments, by estimate, new pieces that are aligned at once, and texts of a chunk.
 REMEMBERED, BATCH, CHUNK_BYTES = MEMORY_BYTES, 1 << 15, 1 << 20
 _B_MASK = (1 << 32) - 1
+_WORD_END = re.compile(WORD_END + r"\Z")
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -88,6 +90,8 @@ class Sides:
         ]
         # no piece goes on behind a space inside or over a line feed: texts can be cut there
         self.cuts = not any(" " in p.replace("▁", " ").lstrip(" ") or "\n" in p for p in spelled)
+        # what some piece of B joins to a mark behind it
+        self.joined = {p[i : i + 2] for p in spelled for i in range(len(p) - 1) if p[i + 1] in MARKS}
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         self.a_names = [str(i) for i in range(len(self.a_bytes))]
@@ -102,6 +106,14 @@ class Sides:
         spaces = pc.if_else(pa.array(first), " ", "")
         return pc.binary_join_element_wise(spaces, flat, ""), sizes
 
+    def word(self, piece: str) -> str:
+        """The piece without the marks at its end, if both tokenizers end a token there; else all."""
+        if not self.cuts or piece[-1] not in MARKS:
+            return piece
+        word = piece.rstrip(MARKS)
+        apart = _WORD_END.search(word) and piece[len(word) - 1 : len(word) + 1] not in self.joined
+        return word if apart else piece
+
     def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after another, and how many each has."""
         todo = Together(texts)
@@ -202,10 +214,24 @@ class Aligned:
         return np.array([self.known[text]])
 
     def _learn(self, wanted: list[str]) -> None:
-        new = [p for p in wanted if p not in self.known]
+        """Words are aligned without the marks behind them, and put together with those."""
+        known = self.known
+        new = [p for p in wanted if p not in known]
+        words = [self.sides.word(p) for p in new]
+        marked = {p: (w, p[len(w) :]) for p, w in zip(new, words, strict=True) if len(w) < len(p)}
+        plain = dict.fromkeys(p for p in new if p not in marked)
+        plain |= dict.fromkeys(part for both in marked.values() for part in both if part not in known)
+        base = list(plain)
         # the libraries' results of a batch take many times its size
-        for k in range(0, len(new), BATCH):
-            self._align(new[k : k + BATCH])
+        for k in range(0, len(base), BATCH):
+            self._align(base[k : k + BATCH])
+        if marked:
+            both = np.array([(known[w], known[m]) for w, m in marked.values()], np.int64)
+            sizes = self.ends[both + 1] - self.ends[both]
+            pairs = ragged(self.pairs, self.ends[both].reshape(-1), sizes.reshape(-1))
+            groups = [self.groups[i] + ";" + self.groups[j] for i, j in both.tolist()]
+            whole, numbers = self.whole[both].all(axis=1), self.numbers[both].sum(axis=1)
+            self._keep(list(marked), whole, numbers, groups, pairs, sizes.sum(axis=1))
 
     def _align(self, new: list[str]) -> None:
         sides, raw = self.sides, [p.encode() for p in new]

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .worker import ENTRY_BYTES, MEMORY_BYTES
-
-_MARKS = string.punctuation
+#: Bytes of remembered pieces.
+REMEMBERED = 16 << 20
+MARKS = string.punctuation
+#: Digits and letters that every version of Unicode has, so all libraries take them for such.
+WORD_END = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u052f]"
 #: Texts that have to be looked at more closely: empty ones, and those with white space beside white
 #: space, at an end, or of another kind than space and line feed.
 _ODD = (
@@ -70,12 +72,13 @@ class Together:
         return starts[back], (ends - starts)[back]
 
 
-def cut(texts: list[bytes | None], whole: bool = False) -> tuple[pa.Array, np.ndarray]:
+def cut(texts: pa.Array | list[bytes | None], whole: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The `pieces` of texts (or texts in one, if `whole`), one text after another, and how many each has."""
+    raw = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), b"")
     try:
-        values = pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string())
+        values = raw.cast(pa.string())
     except pa.ArrowInvalid:  # bytes that aren't UTF-8
-        values = pa.array([(t or b"").decode(errors="replace") for t in texts], pa.string())
+        values = pa.array([t.decode(errors="replace") for t in raw.to_pylist()], pa.string())
     if whole:
         some = pc.greater(pc.binary_length(values), 0)
         return values.filter(some), some.cast(pa.int64()).to_numpy()
@@ -101,79 +104,98 @@ class PieceIds:
     """Token ids of texts from the ids of their pieces; each distinct piece is encoded once and
     remembered, up to a bound in bytes.
 
-    `encode` gives the ids of pieces, one after another, and how many each has.
+    `encode` gives the ids of pieces, one after another, and how many each has. Pieces are looked up
+    as Arrow arrays, so that only new ones become Python strings. `special` are strings that are
+    tokens wherever they occur.
     """
 
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        most: int = MEMORY_BYTES,
+        most: int = REMEMBERED,
+        special: Sequence[str] = (),
     ):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.special = encode, most, special
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.bytes = 0
+        self.names = pa.array([], pa.string())
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
         self.used = np.zeros(0, np.int32)
 
+    def _bytes(self) -> int:
+        return self.names.nbytes + self.ids.nbytes + self.starts.nbytes + self.used.nbytes
+
     def _thin(self) -> None:
         """Forget the pieces that one call alone has used; all, if the others are too many as well."""
-        names, kept = list(self.known), np.flatnonzero(self.used > 1)
-        names = [names[i] for i in kept.tolist()]
-        lengths = self.starts[kept + 1] - self.starts[kept]
+        kept = np.flatnonzero(self.used > 1)
+        names, lengths = self.names.take(pa.array(kept)), self.starts[kept + 1] - self.starts[kept]
         ids = ragged(self.ids, self.starts[kept], lengths)
         self._forget()
-        if self._size(names, ids) < self.most // 2:
-            self._keep(names, ids, lengths)
-
-    @staticmethod
-    def _size(names: list[str], ids: np.ndarray) -> int:
-        return ENTRY_BYTES * len(names) + sum(map(len, names)) + 4 * len(ids)
+        self._keep(names, ids, lengths)
+        if self._bytes() > self.most // 2:
+            self._forget()
 
-    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array | list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of UTF-8 texts, one text after another, and how many each has."""
-        if self.bytes > self.most:
+        if self._bytes() > self.most:
             self._thin()
         flat, sizes = cut(texts)
         coded = pc.dictionary_encode(flat)
-        distinct = coded.dictionary.to_pylist()
-        self._learn(distinct)
-        known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        self.used[known] += 1
-        at = known[coded.indices.to_numpy()]
-        lengths = self.starts[at + 1] - self.starts[at]
+        ids, lengths = self._distinct(coded.dictionary)
+        at = coded.indices.to_numpy()
+        starts, lengths = (np.cumsum(lengths) - lengths)[at], lengths[at]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         last = np.cumsum(sizes)
-        return ragged(self.ids, self.starts[at], lengths), ends[last] - ends[last - sizes]
-
-    def _learn(self, distinct: list[str]) -> None:
-        known = self.known
-        new = [p for p in distinct if p not in known]
-        # marks at the end of a word are pre-tokens of their own, so the word is encoded without them
-        marked = {}
-        for p in new:
-            if p[-1] in _MARKS and (word := p.rstrip(_MARKS)) and word[-1].isalnum():
-                marked[p] = (word, p[len(word) :])
-        if marked:
-            parts = {part for both in marked.values() for part in both if part not in known}
-            self._add(list(parts.union(new).difference(marked)))
-            both = np.array([(known[a], known[b]) for a, b in marked.values()], np.int64).reshape(-1)
-            lengths = self.starts[both + 1] - self.starts[both]
-            self._keep(list(marked), ragged(self.ids, self.starts[both], lengths), lengths.reshape(-1, 2).sum(axis=1))
-        else:
-            self._add(new)
-
-    def _add(self, new: list[str]) -> None:
-        if new:
-            self._keep(new, *self.encode(new))
-
-    def _keep(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        size = len(self.known)
-        self.known.update(zip(new, range(size, size + len(new)), strict=True))
-        self.bytes += self._size(new, ids)
+        return ragged(ids, starts, lengths), ends[last] - ends[last - sizes]
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one after another, and how many each has."""
+        words, marks, marked = self._parts(pieces)
+        coded = pc.dictionary_encode(pa.concat_arrays([words, marks]))
+        known = pc.index_in(coded.dictionary, value_set=self.names)
+        known = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            known[missing] = len(self.names) + np.arange(len(missing))
+            new = coded.dictionary.take(pa.array(missing))
+            self._keep(new, *self.encode(new.to_pylist()))
+        self.used[known] += 1
+        known = known[coded.indices.to_numpy()]
+        # each word, and its marks behind it
+        parts = 1 + marked.astype(np.int64)
+        first = np.cumsum(parts) - parts
+        order = np.empty(len(known), np.int64)
+        order[first] = known[: len(pieces)]
+        order[first[marked] + 1] = known[len(pieces) :]
+        lengths = self.starts[order + 1] - self.starts[order]
+        ids = ragged(self.ids, self.starts[order], lengths)
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        return ids, sums[first + parts] - sums[first]
+
+    def _parts(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """The pieces without the marks at the end of a word, the marks, and which pieces have any.
+
+        Such marks are pre-tokens of their own, so a word is encoded without them, but for special
+        strings, which may end with marks.
+        """
+        bare = pc.ascii_rtrim(pieces, characters=MARKS)
+        some = pc.and_(pc.less(pc.binary_length(bare), pc.binary_length(pieces)), pc.match_substring_regex(bare, WORD_END + r"\z"))
+        for string in self.special:
+            some = pc.and_(some, pc.invert(pc.match_substring(pieces, string)))
+        marked = some.to_numpy(zero_copy_only=False)
+        words = pc.if_else(some, bare, pieces)
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset).astype(np.int64)
+        starts = offsets[:-1][marked] + pc.binary_length(bare).to_numpy()[marked]
+        sizes = offsets[1:][marked] - starts
+        data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(starts) else np.zeros(0, np.uint8)
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes)]).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(ragged(data, starts, sizes)))
+        return words, marks, marked
+
+    def _keep(self, new: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, new])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
         self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])

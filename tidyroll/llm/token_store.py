@@ -104,10 +104,15 @@ class Codes:
 
 
 def _library(path: str) -> PieceIds:
-    return held(("token_store", path), lambda: PieceIds(_encoder(path)))
+    def make() -> PieceIds:
+        encode, special = _encoder(path)
+        return PieceIds(encode, special=special)
 
+    return held(("token_store", path), make)
 
-def _encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+
+def _encoder(path: str) -> tuple[Callable[[list[str]], tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Encodes pieces with the library; its special strings."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
@@ -116,7 +121,8 @@ def _encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
     for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
         sizes[i] = len(token)  # a letter for each byte
-    for i, token in tokenizer.get_added_tokens_decoder().items():
+    added = tokenizer.get_added_tokens_decoder()
+    for i, token in added.items():
         sizes[i] = len(token.content.encode())
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +136,7 @@ def _encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
         starts, counts = todo.runs(sizes[ids], [len(p.encode()) for p in todo.parts])
         return ragged(ids, starts, counts), counts
 
-    return encode
+    return encode, [token.content for token in added.values()]
 
 
 def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
@@ -153,8 +159,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
         shard, first = TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, stop in chunks(batch.column(1)):
-                texts = batch.column(1).slice(start, stop - start).to_pylist()
-                ids, counts = memory.of(texts)
+                ids, counts = memory.of(batch.column(1).slice(start, stop - start))
                 flat = np.insert(ids, np.cumsum(counts), end)
                 doc_ids = batch.column(0).slice(start, stop - start).to_pylist()
                 yield pa.RecordBatch.from_arrays(
