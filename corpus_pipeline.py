@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidyroll.llm import byte_bpe, decontamination, quality, simhash, suffix_dedup
 from tidyroll.llm.texts import carried
-from tidyroll.operators.staging import settled
+from tidyroll.operators.staging import released, settled, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,13 +62,22 @@ STAGES = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """All stages over the documents of a folder, each written as Parquet and read again.
 
-    A stage's input and what it staged itself are deleted when its result is written.
+    A stage's input and what it staged itself are deleted when its result is written. With `folder`
+    (shared by all executors, and used for one input only) the results of all stages are kept there,
+    and a run that was broken off goes on behind the last stage that was written to its end.
     """
     docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, step in STAGES:
-        docs = settled(spark, partial(step, spark, docs, sf_dir), f"pipeline-{name}", *read)
-        read = [docs]
+    for i, (name, step) in enumerate(STAGES):
+        if folder is None:
+            docs = settled(spark, partial(step, spark, docs, sf_dir), f"pipeline-{name}", *read)
+            read = [docs]
+            continue
+        path = f"{folder.rstrip('/')}/{i}-{name}"
+        if not written(spark, path):
+            with released(spark):
+                step(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -83,6 +83,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to `path` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables: those given, or all of the session.
 
