@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import under
-from ..operators.mailboxes import GROUP, contact_emails, with_company_name
+from ..operators.mailboxes import GROUP, email_data
 from ..operators.skew import key_counts, split_join
-from ..operators.staging import release, stage
+from ..operators.staging import stage
 from ..operators.survivors import address_groups
 
 
@@ -25,11 +25,8 @@ def duplicate_contacts(
     any contact may survive: `merge_with` is an id, null on the survivor, and `merge_action`
     says `PRIMARY` or `MERGE`.
     """
-    emails = stage(contact_emails(views, collation), "emails")
-    # All rows of a group have one company, so the company joins the groups, not the rows.
-    found = stage(address_groups(emails).where(F.col("rows") > 1), "found-groups")
-    groups = stage(with_company_name(found, views, "EmailAddress"), "groups")
-    release(found.sparkSession, found)
+    emails = stage(email_data(views, collation), "emails")
+    groups = stage(address_groups(emails).where(F.col("rows") > 1), "groups")
     rows = split_join(
         emails,
         groups.drop("rows"),
