@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidyroll import MatchParams, move_export, move_suggestions
 from tidyroll.operators import candidates as cand
 from tidyroll.operators import domains as domain_module
-from tidyroll.operators import skew
+from tidyroll.operators import sketch, skew
 from tidyroll.operators.addresses import address_choice
 from tidyroll.operators.domains import domain_counts
 
@@ -317,6 +317,7 @@ def test_long_lists_are_tables(spark, monkeypatch, way):
         monkeypatch.setattr(domain_module, "BROADCAST_BYTES", 1000)
     if way == "split":
         monkeypatch.setattr(skew, "MIN_ROWS", 50)
+        monkeypatch.setattr(sketch, "MIN_BYTES", 0)
     found = domain_module.classify_domains(df, long, spread="id" if way == "split" else None)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "d54321.example" not in plan and len(plan) < 20_000 and ("explode" in plan) == (way == "split")

@@ -196,6 +196,7 @@ def test_ordinals_of_dealt_copies(spark, monkeypatch):
 def test_heavy_keys_are_found(spark, monkeypatch, kind):
     """Keys over the share are found with their counts, whatever the many others are."""
     monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    monkeypatch.setattr(sketch, "MIN_BYTES", 0)
     n = F.col("id")
     key = F.when(n % 3 == 0, -1).when(n % 7 == 0, -2).when(n % 5 == 0, None).otherwise(n)
     rows = spark.range(200_000).repartition(9).select(key.cast(kind).alias("k"), "id")
@@ -207,6 +208,9 @@ def test_heavy_keys_are_found(spark, monkeypatch, kind):
     monkeypatch.setattr(skew, "MIN_ROWS", 70_000)
     assert sketch.heavy_keys(rows, "k").size is None
     assert sketch.heavy_keys(rows.where("id < 0"), "k").size is None
+    monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    monkeypatch.setattr(sketch, "MIN_BYTES", 64 << 20)
+    assert sketch.heavy_keys(rows, "k").size is None  # small enough for one task
 
 
 def test_a_company_with_a_third_of_the_rows_is_spread(spark, make_views, monkeypatch, twenty_partitions):
@@ -231,6 +235,7 @@ def test_a_company_with_a_third_of_the_rows_is_spread(spark, make_views, monkeyp
     try:
         whole = plain(mailboxes.email_data(views))
         monkeypatch.setattr(skew, "MIN_ROWS", 40)
+        monkeypatch.setattr(sketch, "MIN_BYTES", 0)
         emails = mailboxes.email_data(views)
         sizes = _per_task(emails)
         assert plain(emails) == whole and len(whole) == rows

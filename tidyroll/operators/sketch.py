@@ -13,6 +13,8 @@ SHARE = 4096
 TRACKED = 8 * SHARE
 # Summaries are merged by so many tasks before one merges theirs.
 MERGES = 64
+# Tables that the optimizer takes to be smaller aren't looked at: one task can have all their rows.
+MIN_BYTES = 64 << 20
 
 
 def heavy_keys(df: DataFrame, key: str) -> skew.KeyCounts:
@@ -21,9 +23,11 @@ def heavy_keys(df: DataFrame, key: str) -> skew.KeyCounts:
     Each task keeps a summary of frequent items (that of Misra and Gries, as Spark's approx_top_k
     has it) of a bounded size, whatever the number of keys; summaries are merged in two steps, and at
     most SHARE keys with their counts come to the driver. Rows without a key don't count. Only the
-    key's column is read.
+    key's column is read, and nothing of a table under MIN_BYTES by the optimizer's estimate.
     """
     spark = df.sparkSession
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < MIN_BYTES:
+        return skew.KeyCounts(df, "rows", 0, None)
     some = df.select(F.col(key).alias("key")).where("key is not null")
     parts = some.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("merge")).agg(
         F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("summary"),
