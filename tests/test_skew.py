@@ -249,3 +249,20 @@ def test_a_company_with_a_third_of_the_rows_is_spread(spark, make_views, monkeyp
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     monkeypatch.undo()
     assert plain(duplicate_contacts(views, ordered=False)) == split
+
+
+def test_few_rows_that_make_many_pairs_are_dealt(spark, monkeypatch):
+    """A key with 300 rows on either side makes 90,000 pairs; no task gets more than a part."""
+    left = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    monkeypatch.setattr(skew, "MIN_PAIRS", 2_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = skew.split_pairs(left, right, ["k"], (measured(left), measured(right)), ("a", "b"))
+        sizes = pairs.groupBy(F.spark_partition_id()).count().collect()
+        assert pairs.distinct().count() == pairs.count() == 90_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in sizes) < 60_000
