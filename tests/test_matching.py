@@ -364,3 +364,55 @@ def test_addresses_are_chosen_without_sorting_them(make_views):
     assert all(r["Site_Name"] == f"site {r['Company_Address_RecID']}" for r in rows.values())
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_contacts_with_several_domains_do_not_go_through_the_largest(spark, make_views, monkeypatch):
+    """Each contact has an address at one domain of many companies and one of its own: the rows that
+    are put together are those of its own domain, and the rows of the large one are written nowhere."""
+    contacts, companies = 40, 300
+    people = [{"Contact_RecID": i, "Company_RecID": 0} for i in range(contacts)]
+    people += [{"Contact_RecID": 1000 + i, "Company_RecID": 10 + i} for i in range(companies)]
+    mails = [(i, "a@big.example") for i in range(contacts)] + [(i, f"b@own{i}.example") for i in range(contacts)]
+    mails += [(1000 + i, "c@big.example") for i in range(companies)]
+    # an own domain has one company that the large one finds too, or one that it doesn't, or both
+    people += [{"Contact_RecID": 5000 + i, "Company_RecID": 9000 + i} for i in range(contacts)]
+    mails += [(5000 + i, f"d@own{i}.example") for i in range(contacts) if i % 3 != 0]
+    mails += [(1000 + i, f"d@own{i}.example") for i in range(contacts) if i % 3 != 1]
+    views = make_views(
+        company=[{"Company_RecID": c, "Company_Name": f"C{c}"} for c in [0, *range(10, 10 + companies), *range(9000, 9000 + contacts)]],
+        contact=people,
+        communication=[
+            {"Contact_Communication_RecID": n, "Contact_RecID": i, "Contact_Communication_Desc": m}
+            for n, (i, m) in enumerate(mails)
+        ],
+    )
+    cells = {
+        i: "[" + ",".join(map(str, [*range(10, 10 + companies), *([9000 + i] if i % 3 else [])])) + "]"
+        for i in range(contacts)
+    }
+    written = []
+    kept = cand.stage
+    monkeypatch.setattr(cand, "stage", lambda df, *rest, **more: written.append(kept(df, *rest, **more)) or written[-1])
+    # in one chunk, in chunks, and with the large domain as one of the small ones
+    for ids in (1000, 7, 100):
+        monkeypatch.setattr(cand, "IDS", ids)
+        del written[:]
+        matches = cand.contact_matches(views, replace(PARAMS, catch_all_company=0))
+        counts = {r["Contact_RecID"]: r["UniqueMatchingCompanyCount"] for r in cand.match_summary(matches).collect()}
+        assert counts == {i: c.count(",") + 1 for i, c in cells.items()}
+        assert max(t.count() for t in written) < contacts * companies / 10
+        assert dict(cand.candidate_arrays(matches).collect()) == cells
+        rows = sorted(map(tuple, cand.candidate_companies(matches).collect()))
+        assert rows == sorted((i, int(c)) for i, cell in cells.items() for c in cell.strip("[]").split(","))
+
+
+def test_lists_join_a_sorted_report(spark, views, monkeypatch):
+    """The report keeps its order whether lists are put beside sorted rows or sorted with them."""
+    plan = move_suggestions(views, PARAMS)._jdf.queryExecution().optimizedPlan().toString()
+    # no sort of rows that have their lists
+    assert plan.index("Join LeftOuter") < plan.index("Sort [")
+    rows = move_suggestions(views, PARAMS).collect()
+    monkeypatch.setattr(cand, "CELLS", 1)
+    assert move_suggestions(views, PARAMS).collect() == rows
+    monkeypatch.setattr(cand, "LISTS_BYTES", -1)
+    assert move_suggestions(views, PARAMS).collect() == rows
