@@ -393,7 +393,7 @@ def test_contacts_with_several_domains_do_not_go_through_the_largest(spark, make
     written = []
     kept = cand.stage
     monkeypatch.setattr(cand, "stage", lambda df, *rest, **more: written.append(kept(df, *rest, **more)) or written[-1])
-    # in one chunk, in chunks, and with the large domain as one of the small ones
+    # in one chunk, in chunks, and with some large domains beside each other
     for ids in (1000, 7, 100):
         monkeypatch.setattr(cand, "IDS", ids)
         del written[:]
@@ -406,6 +406,32 @@ def test_contacts_with_several_domains_do_not_go_through_the_largest(spark, make
         assert rows == sorted((i, int(c)) for i, cell in cells.items() for c in cell.strip("[]").split(","))
 
 
+def test_contacts_with_several_small_or_several_large_domains(spark, make_views, monkeypatch):
+    """No domain of a contact finds more than one company, or two find many."""
+    finds = {"one": [10], "two": [11], "same": [10], "many": range(10, 20), "more": range(15, 30)}
+    asks = {1: ["one", "two"], 2: ["one", "same"], 3: ["many", "more"], 4: ["many", "more", "one"], 5: ["one"], 6: ["more", "two"]}
+    people = [{"Contact_RecID": i, "Company_RecID": 0} for i in asks]
+    people += [{"Contact_RecID": 100 + c, "Company_RecID": c} for c in range(10, 30)]
+    mails = [(i, d) for i, ds in asks.items() for d in ds] + [(100 + c, d) for d, cs in finds.items() for c in cs]
+    views = make_views(
+        company=[{"Company_RecID": c, "Company_Name": f"C{c}"} for c in [0, *range(10, 30)]],
+        contact=people,
+        communication=[
+            {"Contact_Communication_RecID": n, "Contact_RecID": i, "Contact_Communication_Desc": f"a@{d}.example"}
+            for n, (i, d) in enumerate(mails)
+        ],
+    )
+    ids = {i: sorted({c for d in ds for c in finds[d]}) for i, ds in asks.items()}
+    for limit in (4096, 3):
+        monkeypatch.setattr(cand, "IDS", limit)
+        matches = cand.contact_matches(views, replace(PARAMS, catch_all_company=0))
+        summary = cand.match_summary(matches).collect()
+        assert {(r["Contact_RecID"], r["UniqueMatchingCompanyCount"]) for r in summary} == {(i, len(c)) for i, c in ids.items()}
+        assert dict(cand.candidate_arrays(matches).collect()) == {i: f"[{','.join(map(str, c))}]" for i, c in ids.items()}
+        rows = sorted(map(tuple, cand.candidate_companies(matches).collect()))
+        assert rows == sorted((i, c) for i, cs in ids.items() for c in cs)
+
+
 def test_lists_join_a_sorted_report(spark, views, monkeypatch):
     """The report keeps its order whether lists are put beside sorted rows or sorted with them."""
     plan = move_suggestions(views, PARAMS)._jdf.queryExecution().optimizedPlan().toString()
