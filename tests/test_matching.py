@@ -442,3 +442,40 @@ def test_lists_join_a_sorted_report(spark, views, monkeypatch):
     assert move_suggestions(views, PARAMS).collect() == rows
     monkeypatch.setattr(cand, "LISTS_BYTES", -1)
     assert move_suggestions(views, PARAMS).collect() == rows
+
+
+def _listing_views(make_views, contacts, companies):
+    """Parked contacts of one domain that finds many companies, among others that find none."""
+    people = [{"Contact_RecID": i, "Company_RecID": 0} for i in range(4 * contacts)]
+    people += [{"Contact_RecID": 10_000 + c, "Company_RecID": 10 + c} for c in range(companies)]
+    mails = [(i, "a@many.example" if i % 4 == 0 else f"a@none{i}.example") for i in range(4 * contacts)]
+    mails += [(10_000 + c, "b@many.example") for c in range(companies)]
+    return make_views(
+        company=[{"Company_RecID": c, "Company_Name": f"C{c}"} for c in [0, *range(10, 10 + companies)]],
+        contact=people,
+        communication=[
+            {"Contact_Communication_RecID": n, "Contact_RecID": i, "Contact_Communication_Desc": m}
+            for n, (i, m) in enumerate(mails)
+        ],
+    )
+
+
+def _ids_per_task(df):
+    ids = F.sum(F.size(F.split("MoveToCompanyRecIDArray", ",")))
+    return [r["ids"] for r in df.groupBy(F.spark_partition_id()).agg(ids.alias("ids")).collect() if r["ids"]]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_lists_are_dealt_by_what_they_print(make_views, monkeypatch, broadcast):
+    """100 lists of 50 ids: no task has many more ids than CELLS, which a writer may have to hold."""
+    params = replace(PARAMS, catch_all_company=0)
+    views = _listing_views(make_views, 100, 50)
+    whole = sorted(cand.candidate_arrays(cand.contact_matches(views, params)).collect())
+    assert [tuple(r) for r in whole] == [(4 * i, f"[{','.join(map(str, range(10, 60)))}]") for i in range(100)]
+    monkeypatch.setattr(cand, "CELLS", 500)
+    if not broadcast:
+        monkeypatch.setattr(cand, "LISTS_BYTES", -1)
+    arrays = cand.candidate_arrays(cand.contact_matches(views, params))
+    sizes = _ids_per_task(arrays)
+    assert sum(sizes) == 5000 and len(sizes) >= 10 and max(sizes) <= 550
+    assert sorted(arrays.collect()) == whole
