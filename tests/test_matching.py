@@ -479,3 +479,20 @@ def test_long_lists_are_dealt_by_what_they_print(make_views, monkeypatch, broadc
     sizes = _ids_per_task(arrays)
     assert sum(sizes) == 5000 and len(sizes) >= 10 and max(sizes) <= 550
     assert sorted(arrays.collect()) == whole
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_sorted_report_is_dealt_by_what_it_prints(make_views, monkeypatch, broadcast):
+    """Rows with long lists follow each other in the order; ranges of it have few of them."""
+    params = replace(PARAMS, catch_all_company=0)
+    views = _listing_views(make_views, 100, 50)
+    whole = move_suggestions(views, params).collect()
+    assert len(whole) == 400 and len({r["MoveToCompanyRecIDArray"] for r in whole}) == 2
+    monkeypatch.setattr(cand, "CELLS", 500)
+    if not broadcast:
+        monkeypatch.setattr(cand, "LISTS_BYTES", -1)
+    sizes = _ids_per_task(move_suggestions(views, params).where("MoveToCompanyRecIDArray is not null"))
+    assert sum(sizes) == 5000 and len(sizes) >= 10 and max(sizes) <= 550
+    assert move_suggestions(views, params).collect() == whole
+    unordered = move_suggestions(views, params, ordered=False).where("MoveToCompanyRecIDArray is not null")
+    assert max(_ids_per_task(unordered)) <= 550
