@@ -266,3 +266,18 @@ def test_few_rows_that_make_many_pairs_are_dealt(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert max(r["count"] for r in sizes) < 60_000
+
+
+def test_pairs_stay_dealt_where_partitions_are_merged(spark, monkeypatch):
+    """Few rows make many pairs; the partitions aren't merged by the size of these rows."""
+    left = spark.createDataFrame([(1, i) for i in range(300)], "k long, a long")
+    right = left.withColumnRenamed("a", "b")
+    monkeypatch.setattr(skew, "MIN_PAIRS", 2_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = skew.split_pairs(left, right, ["k"], (measured(left), measured(right)), ("a", "b"))
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert pairs.distinct().count() == sum(sizes) == 90_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) >= 4 and max(sizes) < 45_000
